@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import table
 from .decontaminate import contaminated
+from .near_dedup import near_groups
 from .quality import score_quality
 from .topk import top_k
 from .toxicity import score_toxicity
@@ -23,6 +24,10 @@ def op4_exact_topk(spark, sf_dir):
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +46,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_toxicity, op4_exact_topk, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op3_toxicity, op4_exact_topk, op5_near_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
 
 
 SQL_TOPK = """
@@ -53,6 +58,20 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+SQL_NEAR = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r AS (SELECT a AS doc_id, a AS c FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a),
+m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id) AS component_id, coalesce(m.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN m ON m.doc_id = s.doc_id
+"""
+
 SQL_URLS = """
 WITH a AS (SELECT page_id, url, strpos(url, '://') AS mark FROM pages),
 b AS (SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest, coalesce(mark > 0, false) AS ok FROM a),
@@ -76,4 +95,4 @@ SELECT conv_id, CAST(pos AS INTEGER) AS n_turns, n_copies, text FROM w WHERE NOT
 
 
 def oracle_sql():
-    return {"op4_exact_topk": SQL_TOPK, "op9_url_rules": SQL_URLS, "op10_chat_format": SQL_CHAT}
+    return {"op4_exact_topk": SQL_TOPK, "op5_near_dedup": SQL_NEAR, "op9_url_rules": SQL_URLS, "op10_chat_format": SQL_CHAT}
