@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import contaminated
 from .near_dedup import near_groups
 from .quality import score_quality
+from .suffix_dedup import repeat_digest
 from .topk import top_k
 from .toxicity import score_toxicity
 from .url_rules import judge_urls
@@ -28,6 +29,10 @@ def op5_near_dedup(spark, sf_dir):
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return repeat_digest(table(spark, sf_dir, "documents"), min_len=200, keep_first=False)
+
+
 def op7_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +51,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_toxicity, op4_exact_topk, op5_near_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op3_toxicity, op4_exact_topk, op5_near_dedup, op6_suffix_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
 
 
 SQL_TOPK = """
@@ -72,6 +77,20 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.c, s.doc_id)
 FROM s LEFT JOIN m ON m.doc_id = s.doc_id
 """
 
+SQL_REPEATS = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, unnest(range(0, length(x) // 2 - 199)) AS p, x FROM d WHERE length(x) >= 400),
+f AS (SELECT r, p, md5(substr(x, 2 * p + 1, 400)) AS f FROM w),
+k AS (SELECT f FROM f GROUP BY f HAVING count(*) > 1),
+c AS (SELECT r, p, CASE WHEN p <= max(p + 200) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM f JOIN k USING (f)),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS i FROM c),
+s AS (SELECT r, i, min(p) AS s, max(p) + 200 AS e FROM i GROUP BY r, i),
+l AS (SELECT d.r, s.s, s.e, d.x, coalesce(lag(s.e) OVER (PARTITION BY d.r ORDER BY s.s), 0) AS before, row_number() OVER (PARTITION BY d.r ORDER BY s.s DESC) AS back FROM s JOIN d USING (r)),
+g AS (SELECT r, sum(e - s) AS gone, count(*) AS n, string_agg(substr(x, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || max(CASE WHEN back = 1 THEN substr(x, 2 * e + 1) ELSE '' END) AS x FROM l GROUP BY r)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(g.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN g ON g.r = d.r
+"""
+
 SQL_URLS = """
 WITH a AS (SELECT page_id, url, strpos(url, '://') AS mark FROM pages),
 b AS (SELECT page_id, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest, coalesce(mark > 0, false) AS ok FROM a),
@@ -95,4 +114,4 @@ SELECT conv_id, CAST(pos AS INTEGER) AS n_turns, n_copies, text FROM w WHERE NOT
 
 
 def oracle_sql():
-    return {"op4_exact_topk": SQL_TOPK, "op5_near_dedup": SQL_NEAR, "op9_url_rules": SQL_URLS, "op10_chat_format": SQL_CHAT}
+    return {"op4_exact_topk": SQL_TOPK, "op5_near_dedup": SQL_NEAR, "op6_suffix_dedup": SQL_REPEATS, "op9_url_rules": SQL_URLS, "op10_chat_format": SQL_CHAT}
