@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import table
 from .decontaminate import contaminated
+from .language_model import score_texts
 from .near_dedup import near_groups
 from .quality import score_quality
 from .suffix_dedup import repeat_digest
@@ -17,6 +18,10 @@ from .url_rules import judge_urls
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +56,7 @@ def op10_chat_format(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_toxicity, op4_exact_topk, op5_near_dedup, op6_suffix_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op2_lm_scoring, op3_toxicity, op4_exact_topk, op5_near_dedup, op6_suffix_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
 
 
 SQL_TOPK = """
