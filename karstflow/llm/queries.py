@@ -10,6 +10,7 @@ from .decontaminate import contaminated
 from .language_model import score_texts
 from .near_dedup import near_groups
 from .quality import score_quality
+from .sentence_pieces import encode_texts
 from .suffix_dedup import repeat_digest
 from .topk import top_k
 from .toxicity import score_toxicity
@@ -18,6 +19,10 @@ from .url_rules import judge_urls
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_sentence_pieces(spark, sf_dir):
+    return encode_texts(table(spark, sf_dir, "documents"))
+
+
 def op2_lm_scoring(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
 
@@ -55,8 +60,14 @@ def op10_chat_format(spark, sf_dir):
     return format_chats(table(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op2_lm_scoring, op3_toxicity, op4_exact_topk, op5_near_dedup, op6_suffix_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format)}
+    return {f.__name__: f for f in (op1_sentence_pieces, op2_lm_scoring, op3_toxicity, op4_exact_topk, op5_near_dedup, op6_suffix_dedup, op7_decontamination, op8_quality, op9_url_rules, op10_chat_format, pipeline)}
 
 
 SQL_TOPK = """
