@@ -31,7 +31,7 @@ from .common import fold, fresh, small_batches
 #: Labelled rows that the models are fitted on, taken by a hash of the id. The only bound; scoring reads all rows.
 SAMPLE = 10_000
 #: Features are hashed to so many places; so many are kept for a category; a kept one is in so many texts of its class.
-PLACES, KEPT, LEAST = 1 << 20, 2048, 4
+PLACES, KEPT, LEAST = 1 << 20, 2048, 3
 BEGINNINGS = (4, 5, 6)
 FOLDS, STEPS, RIDGE = 3, 120, 1e-3
 
@@ -87,7 +87,7 @@ def fit(row: np.ndarray, col: np.ndarray, n: int, width: int, earlier: np.ndarra
     w, v, b = np.zeros(width), np.zeros(earlier.shape[1]), start
     if n == 0 or y.min() == y.max():
         return w, v, b
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))  # both classes count alike
+    weight = np.where(y == 1, np.sqrt((1 - share) / share), 1.0) if share < 0.5 else np.ones(n)  # a rare class counts for more, not for half
     most = np.bincount(row, minlength=n).max(initial=1) + earlier.shape[1] + 1
     rate = 4.0 / min(most, 64)
     ww, vv, bb = w, v, b
@@ -150,7 +150,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, object]
         ratio = F.log((F.col(f"p{k}") + 0.5) / one) - F.log((F.col("n") - F.col(f"p{k}") + 0.5) / zero)
         spread = F.sqrt(1 / (F.col(f"p{k}") + 0.5) + 1 / (F.col("n") - F.col(f"p{k}") + 0.5))
         strong = sums.where(F.greatest(F.col(f"p{k}"), F.col("n") - F.col(f"p{k}")) >= LEAST).select("place", (F.abs(ratio) / spread).alias("z"), F.abs(ratio).alias("r"))
-        places |= {r.place for r in strong.where("z >= 3 AND r >= 1.5").orderBy(F.desc("z"), "place").limit(KEPT).select("place").collect()}
+        places |= {r.place for r in strong.where("z >= 2.2 AND r >= 1.5").orderBy(F.desc("z"), "place").limit(KEPT).select("place").collect()}
     sums.unpersist()
     places = np.array(sorted(places), np.int64)
     wanted = np.zeros(PLACES, bool)
