@@ -41,8 +41,10 @@ from .common import fresh, settle, small_batches
 MIN_LEN, GRAM = 200, 64
 #: Window starts handled at once; index bits below the hash in the election.
 STEP, BITS = (1 << 20) - 1024, 20
-#: Distinct blocks of one anchor that one task sorts; beyond it the cluster does.
-GROUP = 2048
+#: Distinct blocks of one anchor that one task sorts (11 MB of segments); beyond it the cluster does.
+GROUP = 32_768
+#: Suffixes put in order at once; more of one bucket are taken offset by offset, as equal ones share theirs.
+SUFFIXES = 1 << 16
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -233,7 +235,7 @@ class Repeats:
     def covers(self, segments: DataFrame) -> DataFrame:
         """(a, b, spans): the bytes of a block, from its anchor, that lie in repeated windows."""
         min_len, keep_first = self.min_len, self.keep_first
-        small_batches(self.spark, 4000)
+        small_batches(self.spark, 2000)
         few = segments.where(F.col("n_blocks") <= GROUP).repartition("a").sortWithinPartitions("a", "doc_id", "h", "pos")
         return few.mapInArrow(bucket(min_len, keep_first), f"a long, b long, spans {SPANS}").unionByName(self.hot_covers(segments.where(F.col("n_blocks") > GROUP)))
 
@@ -243,7 +245,8 @@ class Repeats:
 
         def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, seg, o = windows_of(batch, min_len)
+                view, at, seg, o = windows_of(batch, min_len)
+                rows = view[at]
                 with np.errstate(over="ignore"):
                     up, _ = T.powers(min_len)
                     f = T.mix((T.BYTE[rows] * up[:min_len]).sum(axis=1, dtype=np.uint64)).view(np.int64)
@@ -273,30 +276,38 @@ class Repeats:
         return rows.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.flatten(F.collect_list("spans")).alias("cuts"))  # at most the windows of one text
 
 
-def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of the batch's segments as rows of bytes, with their segment and offset from the anchor."""
+def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All rows of ``min_len`` bytes of the batch's segments (a view), and of each window that elected its
+    segment's anchor its row, its segment and its offset from the anchor."""
     data, offs = T.buffers(batch["bytes"])
     off, w0, w1 = (batch[c].to_numpy().astype(np.int64) for c in ("off", "w0", "w1"))
     n = w1 - w0 + 1
     seg = np.repeat(np.arange(len(n)), n)
     o = w0[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-    at = offs[seg] + off[seg] + o
-    rows = np.lib.stride_tricks.sliding_window_view(data, min_len)[at] if len(at) else np.empty((0, min_len), np.uint8)
-    return rows, seg, o
+    view = np.lib.stride_tricks.sliding_window_view(data, min_len) if len(data) >= min_len else np.empty((0, min_len), np.uint8)
+    return view, offs[seg] + off[seg] + o, seg, o
 
 
 def bucket(min_len: int, keep_first: bool):
     """Suffix order and LPF over whole groups of segments that share an anchor, some groups at a time."""
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, seg, o = windows_of(batch, min_len)
-        # segments stand in order of anchor, then first place in the texts: so does each suffix within its group
-        pos = np.arange(len(seg))
-        order, lcp = suffix_order(rows, pos)
-        hit = longest_previous_factors(pos[order], lcp) >= min_len
-        if not keep_first:
-            hit |= longest_previous_factors(-pos[order], lcp) >= min_len
-        at = np.sort(order[hit])
+        view, start, seg, o = windows_of(batch, min_len)
+        if len(seg) <= SUFFIXES:
+            parts = [np.arange(len(seg))]
+        else:
+            by_offset = np.argsort(o, kind="stable")
+            parts = np.split(by_offset, np.flatnonzero(np.diff(o[by_offset])) + 1)
+        hits = []
+        for part in parts:
+            # segments stand in order of anchor, then first place in the texts: so does each suffix within its group
+            order, lcp = suffix_order(view[start[part]], part)
+            pos = part[order]
+            hit = longest_previous_factors(pos, lcp) >= min_len
+            if not keep_first:
+                hit |= longest_previous_factors(-pos, lcp) >= min_len
+            hits.append(pos[hit])
+        at = np.sort(np.concatenate(hits))
         who = seg[at]
         cuts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.empty(0, np.int64)
         spans = [merged(x, x + min_len) for x in np.split(o[at], cuts[1:])] if len(who) else []
