@@ -20,7 +20,6 @@ def text_to_number(text: Column) -> Column:
     stamp = F.regexp_replace(stamp, r"([+-]\d{2})(\d{2})$", "$1:$2")
     stamp = F.regexp_replace(stamp, r"(\.\d{3})\d+", "$1")
     zoned = F.when(stamp.rlike(r"(Z|[+-]\d{2}:\d{2})$"), stamp).otherwise(F.concat(stamp, F.lit("Z")))
-    # an offset on a date's end (-dd) is no offset
     millis = F.unix_millis(F.try_to_timestamp(zoned)).cast("double")
     return F.when(text.rlike(NUMBER), text.try_cast("double")).when(text.rlike(STAMP), millis)
 
