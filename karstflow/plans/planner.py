@@ -95,7 +95,8 @@ def apply_where(df: DataFrame, query: Query, catalog: Catalog) -> DataFrame:
         elif isinstance(c, Exists) and c.related.query.limit != 0:
             df = df.join(child_keys(c.related, catalog), on_keys(c.related), "left_anti" if c.negated else "left_semi")
         else:
-            df = df.where(column(c))
+            condition = column(c)  # adds the marks to df first
+            df = df.where(condition)
 
     if query.where is not None:
         top(query.where)
@@ -202,7 +203,7 @@ def attach(df: DataFrame, query: Query, catalog: Catalog, singles: frozenset[str
         if not alias or alias in names:
             raise RequestError(f"related needs an alias of its own, not {alias!r}")
         names.add(alias)
-        here, keys = f"{path}{alias}", [f"k{n}_{i}" for i in range(len(r.parent))]
+        here, keys = f"{path}{alias}", [f"{path}{alias}.".replace(".", "_") + f"_k{i}" for i in range(len(r.parent))]
         one = here in singles
         limit = min(1, 1 if target.query.limit is None else target.query.limit) if one else target.query.limit
         sub = Query(target.query.table, alias, target.query.where, target.query.related, target.query.order_by, limit, target.query.start)
