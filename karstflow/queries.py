@@ -401,10 +401,10 @@ def breaker_trips(c):
 
 @query(f"""WITH e AS (SELECT event_id, user_id, {MS} AS ms FROM events),
            c AS (SELECT user_id, event_id AS version, ms FROM e WHERE event_id % 2 = 0), s AS (SELECT user_id, event_id AS version, ms FROM e WHERE event_id % 2 = 1)
-           SELECT c.user_id, c.version, CASE WHEN min(s.ms) IS NOT NULL THEN greatest(0, min(s.ms) - c.ms) END AS lag FROM c LEFT JOIN s ON s.user_id = c.user_id AND s.version >= c.version GROUP BY c.user_id, c.version, c.ms""")
+           SELECT c.user_id, c.version, coalesce(CASE WHEN min(s.ms) IS NOT NULL THEN greatest(0, min(s.ms) - c.ms) END, -1) AS lag FROM c LEFT JOIN s ON s.user_id = c.user_id AND s.version >= c.version GROUP BY c.user_id, c.version, c.ms""")
 def serving_lag(c):
     e = timed(c).select(F.col("user_id").alias("group"), F.col("event_id").alias("version"), F.col("ms").alias("at"))
-    return budget.serving_lag(e.where("version % 2 = 0"), e.where("version % 2 = 1")).select(F.col("group").alias("user_id"), "version", "lag")
+    return budget.serving_lag(e.where("version % 2 = 0"), e.where("version % 2 = 1")).select(F.col("group").alias("user_id"), "version", F.coalesce("lag", F.lit(-1)).cast("long").alias("lag"))
 
 
 @query("""WITH f AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
@@ -421,11 +421,11 @@ def field_stream_accumulate(c):
     return fields.accumulate(frames).select("topic", "stream", "value", "seq")
 
 
-@query(f"""WITH e AS (SELECT user_id, event_id, value, {MS} AS ms FROM events), w AS (SELECT user_id, floor(ms / 3600000) AS w, max(ms) AS at, arg_max(value, (ms, event_id)) AS value FROM e GROUP BY 1, 2)
-           SELECT CAST(user_id AS VARCHAR) AS topic, at FROM w""")
+@query(f"""WITH e AS (SELECT user_id, event_id, value, {MS} AS ms FROM events), w AS (SELECT user_id, floor(ms / 3600000) AS w, max(ms) AS last_at, arg_max(value, (ms, event_id)) AS value FROM e GROUP BY 1, 2)
+           SELECT CAST(user_id AS VARCHAR) AS topic, last_at FROM w""")
 def publisher_coalesce(c):
     e = timed(c).select(F.col("user_id").cast("string").alias("topic"), F.col("ms").alias("at"), F.col("value").cast("string").alias("value"))
-    return fields.coalesced(e, 3_600_000).select("topic", "at")
+    return fields.coalesced(e, 3_600_000).select("topic", F.col("at").alias("last_at"))
 
 
 @query("SELECT user_id, event_id, before, value FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE value < before")
