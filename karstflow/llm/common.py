@@ -39,7 +39,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 #: Rows up to which a side may be broadcast; the callers count first and join by shuffle beyond it.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 200_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

@@ -4,10 +4,12 @@ A document's set are its distinct five-word shingles; documents with Jaccard sim
 3/4 are linked. Documents with equal sets form one class, and only classes travel. Each of ``TREES``
 independent trees branches a class by ``BRANCH`` chosen minwise tokens at each node, so a node holds
 the classes that share its path of tokens. Nodes of up to ``LEAF`` classes are compared
-exhaustively; a larger node is first compared with one pivot and then, only if it holds classes not
-yet in the pivot's group, either its rest (up to ``LEAF`` classes) with the whole node or, where the
-rest is larger, branched again. At ``DEPTH`` the rest is compared in blocks, whatever its size. So a
-group of thousands of near copies costs a star of links, not all pairs, and no node is cut short.
+exhaustively; a larger node is first compared with one pivot, the member nearest to the node's
+majority, and then, only if it holds classes not yet in the pivot's group, this rest is compared with
+the whole node on full sets, in blocks of ``BLOCK`` by ``SLICE`` classes over an inverted index. A rest
+of more than ``REST`` classes is branched again instead; at ``DEPTH`` it is compared in blocks whatever
+its size. So a group of thousands of near copies costs a star of links, not all pairs, and no node is
+cut short.
 At similarity 3/4 one tree misses a pair with a chance under 1/9 at any depth, all trees 3e-8;
 a 128-bit sketch only drops comparisons 4.8 standard deviations below 3/4.
 
@@ -36,6 +38,7 @@ from . import text as T
 from .common import fresh, settle, sized, small_batches
 
 TREES, BRANCH, HASHES, LEAF, DEPTH = 8, 2, 128, 64, 10
+REST, BLOCK, SLICE = 4096, 1024, 8192
 #: Sketch bits that agree: 112 of 128 on average at similarity 3/4, standard deviation 3.7.
 NEAR_BITS = 94
 MULTIPLIERS = T.seeds(HASHES, 3) | np.uint64(1)
@@ -132,17 +135,17 @@ FOUND = "node long, a long, b long, s1 long, s2 long"
 
 
 def found_batch(node, a, b, s1=None, s2=None) -> pa.RecordBatch:
-    """Pairs have no node; a large node's members name it and their pivot (b)."""
+    """Pairs have no node; a large node's members name it and have no partner (b)."""
     n = len(a)
     columns = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (node, a, b, s1, s2)]
     return pa.RecordBatch.from_arrays(columns, ["node", "a", "b", "s1", "s2"])
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes in order: all near pairs of a node of up to LEAF classes; a larger node's members with its
-    pivot, the first one. No more than LEAF members of a node are held from one batch to the next."""
+    """Nodes in order: all near pairs of a node of up to LEAF classes; a larger node's members as they are.
+    No more than LEAF members of a node are held from one batch to the next."""
     held = [np.empty(0, np.int64)] * 4
-    pivot = None  # (node, cid) of a large node that goes on into the next batch
+    large = None  # a large node that goes on into the next batch
 
     def whole(node, cid, s1, s2):
         cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
@@ -150,7 +153,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.repeat(sizes, sizes)
         big = size > LEAF
         if big.any():
-            yield found_batch(node[big], cid[big], np.repeat(cid[cuts], sizes)[big], s1[big], s2[big])
+            yield found_batch(node[big], cid[big], None, s1[big], s2[big])
         at = np.flatnonzero((size > 1) & ~big)
         for d in range(1, LEAF):
             at = at[at + d < len(node)]
@@ -164,14 +167,15 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows = [batch[c].to_numpy() for c in ("node", "cid", "s1", "s2")]
-        if pivot is not None:
-            n = int(np.searchsorted(rows[0] != pivot[0], True)) if (rows[0] != pivot[0]).any() else len(rows[0])
+        if large is not None:
+            other = np.flatnonzero(rows[0] != large)
+            n = int(other[0]) if len(other) else len(rows[0])
             if n:
-                yield found_batch(*(x[:n] for x in rows[:2]), np.full(n, pivot[1]), rows[2][:n], rows[3][:n])
+                yield found_batch(rows[0][:n], rows[1][:n], None, rows[2][:n], rows[3][:n])
             rows = [x[n:] for x in rows]
             if not len(rows[0]):
                 continue
-            pivot = None
+            large = None
         rows = [np.concatenate(x) for x in zip(held, rows)]
         if not len(rows[0]):
             continue
@@ -180,7 +184,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(done[0]):
             yield from whole(*done)
         if len(held[0]) > LEAF:
-            pivot = (held[0][0], held[1][0])
+            large = held[0][0]
             yield from whole(*held)
             held = [np.empty(0, np.int64)] * 4
     if len(held[0]):
@@ -190,10 +194,22 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def visit(rows: DataFrame, n_rows: int) -> DataFrame:
     """What ``walk`` finds in all nodes of one level."""
     most = max(LEAF, n_rows // 4096)
-    hot = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where(F.col("n") > most).select("node", "pivot")
+    hot = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most).select("node")
     hot = F.broadcast(hot)  # fewer than 4096 nodes can hold more than 1/4096 of the rows each
     cold = rows.join(hot, "node", "left_anti").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(walk, FOUND)
-    return cold.unionByName(rows.join(hot, "node").select("node", F.col("cid").alias("a"), F.col("pivot").alias("b"), "s1", "s2"))
+    return cold.unionByName(rows.join(hot, "node").select("node", F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "s1", "s2"))
+
+
+def pivots(members: DataFrame) -> DataFrame:
+    """(node, b, p1, p2): of each large node the member whose sketch is nearest to the majority of the first 64 bits."""
+    votes = members.groupBy("node").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("s1", i).bitwiseAND(1)).alias(f"v{i}") for i in range(64)))
+    bit = lambda i: F.when(F.col(f"v{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    most = bit(0)
+    for i in range(1, 64):
+        most = most.bitwiseOR(bit(i))
+    near = members.join(votes.select("node", most.alias("most")), "node").withColumn("near", 64 - F.bit_count(F.col("s1").bitwiseXOR(F.col("most"))))
+    best = near.groupBy("node").agg(F.max(F.struct("near", "a", "s1", "s2")).alias("p"))
+    return best.select("node", F.col("p.a").alias("b"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2"))
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,11 +218,7 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [batch[c].to_numpy() for c in ("a", "b")]
         known, first = np.unique(np.concatenate(ids), return_index=True)
         texts = pa.chunked_array([batch["text_a"], batch["text_b"]]).take(pa.array(first))
-        data, offs = T.buffers(texts)
-        sets = []
-        for i, j in T.spans(offs, T.CHUNK):
-            hashes, cuts = sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            sets += np.split(hashes, cuts[1:-1])
+        sets = text_sets(texts)
         x, y = (np.searchsorted(known, i) for i in ids)
         linked = []
         for i, j in zip(x, y):
@@ -216,6 +228,70 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(i[linked]) for i in ids], ["a", "b"])
 
 
+def text_sets(texts: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    data, offs = T.buffers(texts)
+    sets: list[np.ndarray] = []
+    for i, j in T.spans(offs, T.CHUNK):
+        hashes, cuts = sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        sets += np.split(hashes, cuts[1:-1])
+    return sets
+
+
+class RestBlock:
+    """A block of a node's rest, indexed by shingle; other members are compared with all of it at once."""
+
+    def __init__(self):
+        self.cids, self.labels, self.sets, self.index = [], [], [], None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.cids.append(batch["cid"].to_numpy()), self.labels.append(batch["l"].to_numpy())
+        self.sets += text_sets(batch["text"])
+
+    def links(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """For each class of the block one confirmed link to each group among the batch's members."""
+        if self.index is None:
+            self.size = np.array([len(x) for x in self.sets])
+            flat, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), self.size)
+            order = np.argsort(flat, kind="stable")
+            self.owner = owner[order]
+            self.index, first = np.unique(flat[order], return_index=True)
+            self.cuts = np.append(first, len(flat))
+            self.cids, self.labels = np.concatenate(self.cids), np.concatenate(self.labels)
+        cids, labels, sets = batch["cid"].to_numpy(), batch["l"].to_numpy(), text_sets(batch["text"])
+        out = []
+        for cid, label, own in zip(cids, labels, sets):
+            at = np.searchsorted(self.index, own)
+            at = at[(at < len(self.index)) & (self.index[np.minimum(at, len(self.index) - 1)] == own)]
+            both = np.bincount(self.owner[ragged(self.cuts[at], self.cuts[at + 1] - self.cuts[at])], minlength=len(self.size))
+            hit = np.flatnonzero((100 * both >= 75 * (self.size + len(own) - both)) & (both > 0) & (self.labels != label))
+            out += [(r, label, cid) for r in hit]
+        found = np.array(out, np.int64).reshape(-1, 3)
+        _, first = np.unique(found[:, :2], axis=0, return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(self.cids[found[first, 0]] if len(first) else found[:, 0]), pa.array(found[first, 2])], ["a", "b"])
+
+
+def ragged(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions of runs [start, start + n), one after another."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(starts - (ends - n), n)
+
+
+def compare_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (node, block, slice, role): a block's rest comes first, then the members of its slice."""
+    now, block = None, None
+    for batch in batches:
+        keys = np.column_stack([batch[c].to_numpy() for c in ("node", "block", "slice", "role")])
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])) if len(keys) else []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if tuple(keys[i, :3]) != now:
+                now, block = tuple(keys[i, :3]), RestBlock()
+            part = batch.slice(i, j - i)
+            if keys[i, 3] == 0:
+                block.add(part)
+            elif block.sets:
+                yield block.links(part)
+
+
 def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows whose text has the class's key (an id may stand at several texts)."""
     for batch in batches:
@@ -231,13 +307,16 @@ def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of every linked class: label is the smallest cid that links lead to."""
     edges = settle(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = settle(edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    n = edges.count()
+    files = 4 + n // 100_000  # so few edges need no more tasks
+    labels = settle(edges.groupBy(F.col("a").alias("cid")).agg(F.least(F.col("a"), F.min("b")).alias("label")).coalesce(files), "labels")
     while True:
-        seen = edges.join(labels.withColumnRenamed("cid", "b"), "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near"))
-        nearer = labels.join(seen, "cid").select("cid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        roots_ = labels.select(F.col("cid").alias("label"), F.col("label").alias("further"))
-        step = nearer.join(roots_, "label").select("cid", "old", F.least("label", "further").alias("label"))
-        step = settle(step, "labels")
+        near = sized(labels.withColumnRenamed("cid", "b"), n)
+        seen = edges.join(near, "b").groupBy(F.col("a").alias("cid")).agg(F.min("label").alias("near")).coalesce(files)
+        nearer = seen.join(sized(labels, n), "cid").select("cid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        further = sized(labels.select(F.col("cid").alias("label"), F.col("label").alias("further")), n)
+        step = nearer.join(further, "label").select("cid", "old", F.least("label", "further").alias("label"))
+        step = settle(step.coalesce(files), "labels")
         moved = step.where("label < old").limit(1).count()
         labels = step.select("cid", "label")
         if not moved:
@@ -260,7 +339,7 @@ class Join:
 
     def read_texts(self, found: DataFrame) -> None:
         """Write down the texts of all classes that any comparison can need."""
-        needed = found.select(F.col("a").alias("cid")).union(found.select("b")).distinct()
+        needed = found.select(F.col("a").alias("cid")).union(found.where("b IS NOT NULL").select("b")).distinct()
         needed = self.classes.select("cid", "least", "k1", "k2").join(needed, "cid")
         rows = self.texts.join(needed, F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "k1", "k2", "text")
         small_batches(self.spark)
@@ -279,55 +358,55 @@ class Join:
         small_batches(self.spark, 10_000)
         return links
 
-    def labels(self) -> DataFrame | None:
-        """(cid, label) of all linked classes, or None where there are none."""
+    def labels(self) -> DataFrame:
+        """(cid, label) of all linked classes."""
         rows = settle(self.classes.select("cid", "s1", "s2", "tokens").mapInArrow(roots, ROW), "level")
-        links = pending = labels = None
+        links = labels = None
         for depth in range(DEPTH + 1):
             found = settle(visit(rows, rows.count()), "found")
-            members = found.where("node IS NOT NULL")
+            members = found.where("node IS NOT NULL").select("node", "a", "s1", "s2")
             if depth == 0:
                 self.read_texts(found)
             near = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2"))) <= 128 - NEAR_BITS
-            pivots = self.classes.select(F.col("cid").alias("b"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-            pairs = found.where("node IS NULL").select("a", "b").union(members.join(pivots, "b").where(near).select("a", "b"))
-            pairs = pairs if pending is None else pairs.union(pending)
-            fresh_links = self.confirmed(pairs if labels is None else unlinked(pairs, labels))
-            links = fresh_links if links is None else links.union(fresh_links)
+            starred = settle(members.join(pivots(members), "node").withColumn("near", near), "members")
+            pairs = found.where("node IS NULL").select("a", "b").union(starred.where("near").select("a", "b"))
+            new = self.confirmed(pairs if labels is None else unlinked(pairs, labels))
+            links = new if links is None else links.union(new)
             labels = components(links)
-            pending = None
-            open_ = self.unfinished(members, labels)
+            open_ = self.unfinished(starred, labels)
             if open_ is None:
-                return labels
-            blocks = F.ceil(F.col("rest") / LEAF).cast("int")
-            final = depth == DEPTH
-            now = open_ if final else open_.where(F.col("rest") <= LEAF)
-            pending = settle(self.rest_pairs(now.withColumn("blocks", blocks)), "pending")
-            rows = open_.where(F.lit(not final) & (F.col("rest") > LEAF)).select("node", F.col("a").alias("cid"), "s1", "s2")
-            rows = settle(rows.join(self.classes.select("cid", "tokens"), "cid").select("node", "cid", "s1", "s2", "tokens").mapInArrow(branch, ROW), "level")
-            if rows.isEmpty():
                 break
-        links = links.union(self.confirmed(unlinked(pending, labels)))
-        return components(links)
+            links = links.union(self.rest_links(open_ if depth == DEPTH else open_.where(F.col("rest") <= REST)))
+            deep = open_.where(F.lit(depth < DEPTH) & (F.col("rest") > REST)).select("node", F.col("a").alias("cid"), "s1", "s2")
+            if deep.isEmpty():
+                labels = components(links)
+                break
+            rows = settle(deep.join(self.classes.select("cid", "tokens"), "cid").select("node", "cid", "s1", "s2", "tokens").mapInArrow(branch, ROW), "level")
+        return labels
 
-    def unfinished(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
-        """Members (with label) of the nodes that hold classes outside their pivot's group, and how many (rest)."""
+    def unfinished(self, starred: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Members (with label l) of the nodes that hold classes outside their pivot's group; how many those and all are."""
+        n = labels.count()
         of = labels.withColumnRenamed("label", "l")
-        rows = members.join(of.withColumnRenamed("cid", "a"), "a", "left").withColumn("l", F.coalesce("l", "a"))
-        rows = rows.join(of.select(F.col("cid").alias("b"), F.col("l").alias("pl")), "b", "left").withColumn("pl", F.coalesce("pl", "b"))
-        rows = settle(rows.select("node", "a", "l", "s1", "s2", (F.col("l") != F.col("pl")).alias("out")), "members")
-        rest = rows.groupBy("node").agg(F.sum(F.col("out").cast("long")).alias("rest")).where("rest > 0")
+        rows = starred.join(sized(of.withColumnRenamed("cid", "a"), n), "a", "left").withColumn("l", F.coalesce("l", "a"))
+        rows = rows.join(sized(of.select(F.col("cid").alias("b"), F.col("l").alias("pl")), n), "b", "left").withColumn("pl", F.coalesce("pl", "b"))
+        rows = rows.select("node", "a", "l", "s1", "s2", (F.col("l") != F.col("pl")).alias("out"))
+        rest = rows.groupBy("node").agg(F.sum(F.col("out").cast("long")).alias("rest"), F.count("*").alias("size")).where("rest > 0")
         rows = settle(rows.join(rest, "node"), "unfinished")
         return None if rows.isEmpty() else rows
 
-    def rest_pairs(self, rows: DataFrame) -> DataFrame:
-        """Each member of a node against the node's rest, in blocks of about LEAF of the rest."""
-        block = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-        rest = rows.where("out").groupBy("node", block.alias("block")).agg(F.collect_list(F.struct("a", "l", "s1", "s2")).alias("others"))
-        met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(rest, ["node", "block"])
-        near = lambda o: F.bit_count(o["s1"].bitwiseXOR(F.col("s1"))) + F.bit_count(o["s2"].bitwiseXOR(F.col("s2"))) <= 128 - NEAR_BITS
-        hits = F.filter("others", lambda o: (o["l"] != F.col("l")) & near(o))
-        return met.select("a", F.explode(F.transform(hits, lambda o: o["a"])).alias("b"))
+    def rest_links(self, rows: DataFrame) -> DataFrame:
+        """Confirmed links between a node's rest and all its members: the rest in blocks, the members in slices."""
+        rows = rows.withColumns({"blocks": F.ceil(F.col("rest") / BLOCK).cast("int"), "slices": F.ceil(F.col("size") / SLICE).cast("int")})
+        all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        part = lambda salt, c: F.pmod(F.xxhash64(F.lit(salt), "a"), F.col(c)).cast("int")
+        rest = rows.where("out").select("node", part("b", "blocks").alias("block"), all_of("slices").alias("slice"), F.lit(0).alias("role"), F.col("a").alias("cid"), "l")
+        others = rows.select("node", all_of("blocks").alias("block"), part("s", "slices").alias("slice"), F.lit(1).alias("role"), F.col("a").alias("cid"), "l")
+        met = rest.unionByName(others).join(self.known, "cid").repartition("node", "block", "slice").sortWithinPartitions("node", "block", "slice", "role", "cid")
+        small_batches(self.spark, 500)
+        links = settle(met.select("node", "block", "slice", "role", "cid", "l", "text").mapInArrow(compare_rest, "a long, b long"), "links")
+        small_batches(self.spark, 10_000)
+        return links
 
 
 def unlinked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
