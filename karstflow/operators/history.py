@@ -22,9 +22,9 @@ def validate(events: DataFrame) -> DataFrame:
         F.when(~ends & (F.col("was") == "invoke"), "invoke while another is open")
         .when(ends & (F.col("was").isNull() | (F.col("was") != "invoke")), "end without an invoke")
         .when(ends & (F.col("was_kind") != F.col("kind")), "end of another kind")
-        .when(~ends & F.col("next").isNull(), "invoke without an end")
     )
-    return gap.unionByName(back).unionByName(twice).unionByName(steps.select("index", problem.alias("problem")).where("problem IS NOT NULL"))
+    open_ = steps.where(~ends & (F.col("next").isNull() | (F.col("next") == "invoke"))).select("index", F.lit("invoke without an end").alias("problem"))
+    return gap.unionByName(back).unionByName(twice).unionByName(open_).unionByName(steps.select("index", problem.alias("problem")).where("problem IS NOT NULL"))
 
 
 def monotonic(snapshots: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
