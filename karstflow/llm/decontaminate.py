@@ -49,7 +49,7 @@ def best_distance(item: str, window: str, most: int) -> int:
         where[c] = where.get(c, 0) | 1 << i
     m = len(item)
     full, high = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best = full, 0, m, most + 1
+    up, down, score, best = full, 0, m, min(m, most + 1)
     for c in window:
         eq = where.get(c, 0)
         cross = (((eq & up) + up) ^ up) | eq | down

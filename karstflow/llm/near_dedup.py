@@ -435,7 +435,7 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
     """The documents but for those whose group has a smaller id, with their own columns."""
-    gone = grouped(documents).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
-    name = fresh(documents, "text_hash")
+    gone_id, gone_h, name = (fresh(documents, c) for c in ("gone_id", "gone_h", "text_hash"))
+    gone = grouped(documents).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
     rows = documents.withColumn(name, F.xxhash64(F.col("text").cast("string")))
-    return rows.join(gone, documents["doc_id"].cast("long").eqNullSafe(F.col("gone_id")) & (F.col(name) == F.col("gone_h")), "left_anti").select(*documents.columns)
+    return rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(name) == F.col(gone_h)), "left_anti").select(*documents.columns)

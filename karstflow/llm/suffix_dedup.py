@@ -349,14 +349,12 @@ def cut_out(column: pa.Array, cuts: pa.Array) -> Iterator[tuple[bytes, list[tupl
 
 def with_cuts(documents: DataFrame, min_len: int, keep_first: bool) -> tuple[DataFrame, str]:
     """``documents`` with a column of the spans to cut, null where nothing goes."""
-    spans = Repeats(documents, min_len, keep_first).spans()
-    h = fresh(documents, "text_hash")
-    name = fresh(documents, "cuts")
+    h, name, of, of_h = (fresh(documents, c) for c in ("text_hash", "cuts", "cut_of", "cut_of_hash"))
+    spans = Repeats(documents, min_len, keep_first).spans().select(F.col("of").alias(of), F.col("of_h").alias(of_h), F.col("cuts").alias(name))
     rows = documents.withColumn(h, F.xxhash64(F.col("text").cast("string")))
-    spans = spans.select("of", "of_h", F.col("cuts").alias(f"{name}_found"))
-    rows = rows.join(spans, rows["doc_id"].cast("long").eqNullSafe(F.col("of")) & (F.col(h) == F.col("of_h")), "left")
+    rows = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(h) == F.col(of_h)), "left")
     small_batches(documents.sparkSession)
-    return rows.select(*(documents[c] for c in documents.columns), F.col(f"{name}_found").alias(name)), name
+    return rows.select(*documents.columns, name), name
 
 
 def repeat_digest(documents: DataFrame, min_len: int = MIN_LEN, keep_first: bool = False) -> DataFrame:

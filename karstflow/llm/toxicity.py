@@ -216,11 +216,11 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
     chain = train(documents, labels, label_categories())
     scored, (junk, toxic) = with_scores(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), chain)
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col(junk).alias("p_junk"), F.col(toxic).alias("p_toxic"), (F.col(toxic) >= threshold).alias("toxic"))
+    return scored.select("doc_id", held.alias("held_out"), F.col(junk).alias("p_junk"), F.col(toxic).alias("p_toxic"), (F.col(toxic) > threshold).alias("toxic"))
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """The documents that the chain doesn't call toxic, with their own columns."""
     chain = train(documents if learn_from is None else learn_from, labels, label_categories())
     scored, names = with_scores(documents, chain)
-    return scored.where(F.col(names[-1]) < threshold).select(*documents.columns)
+    return scored.where(F.col(names[-1]) <= threshold).select(*documents.columns)
