@@ -267,7 +267,8 @@ class Repeats:
         found = self.occurrences()
         blocks = settle(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first")), "blocks")
         covers = self.covers(self.segments(blocks))
-        known = blocks.join(covers, ["a", "b"], "left").where("n > 1 OR spans IS NOT NULL")
+        # written down, so both sides of the next join are shuffled for it and a hot block's rows can be split
+        known = settle(blocks.join(covers, ["a", "b"], "left").where("n > 1 OR spans IS NOT NULL"), "known")
         whole = F.array(F.struct(F.lit(GRAM - self.min_len).alias("s"), F.lit(self.min_len).alias("e")))
         copy = (F.struct("doc_id", "h", "pos") != F.col("first")) if self.keep_first else F.col("n") > 1
         rows = found.join(known, ["a", "b"]).withColumn("spans", F.when(copy, whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
