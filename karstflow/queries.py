@@ -372,7 +372,7 @@ def ledger_gaps(c):
 
 # ---- windows over time, streams, histories ----
 
-MS = "epoch_ms(ts)"
+MS = "(epoch_us(ts) // 1000)"
 
 
 @query(f"""WITH b AS (SELECT event_type, CAST(floor({MS} / 60000) AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS amount FROM events GROUP BY ALL)
