@@ -9,6 +9,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..plans.catalog import Catalog, RequestError
+
+
+def validate_manifest(manifest: list[dict], catalog: Catalog) -> None:
+    """Each streamed field: a non-key column of a declared table; append for strings only, a check for JSON, a positive bound."""
+    seen = set()
+    for f in manifest:
+        spec = catalog.spec(f["table"])
+        kind = spec.columns.get(f["column"])
+        if kind is None or f["column"] in spec.primary_key or (f["table"], f["column"]) in seen:
+            raise RequestError(f"{f['table']}.{f['column']} can't be streamed")
+        seen.add((f["table"], f["column"]))
+        if f.get("mode") not in ("append", "replace") or (f["mode"] == "append" and kind != "string"):
+            raise RequestError(f"{f['column']}: append takes a string column")
+        if kind == "json" and not callable(f.get("validate")):
+            raise RequestError(f"{f['column']}: a json field needs a check")
+        if not isinstance(f.get("max_bytes"), int) or f["max_bytes"] <= 0:
+            raise RequestError(f"{f['column']}: the bound must be positive")
+
 
 def accumulate(frames: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(topic, stream, mode, value, seq, ended) of each topic's last generation, from frames
