@@ -67,11 +67,18 @@ def prune(refs: DataFrame, floor: int) -> DataFrame:
 def row_patch(refs: DataFrame, changed: DataFrame, recomputed_rows: DataFrame, full_rows: DataFrame | None = None) -> DataFrame:
     """(op, row_table, row_pk): transitions, then puts of changed rows still held by a recomputed query,
     then all rows of newly desired queries; one entry for each row."""
-    moves = refs.where("op IS NOT NULL").select("op", *KEY)
-    again = changed.select(*KEY).join(recomputed_rows.select(*KEY).distinct(), KEY, "left_semi").join(refs.where("refs > 0"), KEY, "left_semi")
-    rows = again if full_rows is None else again.unionByName(full_rows.select(*KEY))
-    puts = rows.distinct().join(moves, KEY, "left_anti").select(F.lit("put").alias("op"), *KEY)
-    return moves.unionByName(puts)
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None).cast("string")
+
+    def marked(df: DataFrame, changed=no, live=no, full=no) -> DataFrame:
+        return df.select(*KEY, none.alias("op"), no.alias("held"), changed.alias("changed"), live.alias("live"), full.alias("full"))
+
+    parts = refs.select(*KEY, "op", (F.col("refs") > 0).alias("held"), no.alias("changed"), no.alias("live"), no.alias("full"))
+    parts = parts.unionByName(marked(changed, changed=yes)).unionByName(marked(recomputed_rows, live=yes))
+    if full_rows is not None:
+        parts = parts.unionByName(marked(full_rows, full=yes))
+    rows = parts.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("op", "held", "changed", "live", "full")))  # one shuffle for all of it
+    op = F.coalesce("op", F.when((F.col("changed") & F.col("live") & F.col("held")) | F.col("full"), "put"))
+    return rows.select(op.alias("op"), *KEY).where("op IS NOT NULL")
 
 
 def replay(refs: DataFrame, cookie: int) -> DataFrame:

@@ -171,7 +171,7 @@ def closure(query: Query, catalog: Catalog) -> DataFrame:
         inside(q.where)
 
     visit(flat(query, catalog), query)
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).distinct()  # one table's rows are distinct by their key
 
 
 def probe(query: Query, catalog: Catalog, changed: DataFrame) -> DataFrame:
