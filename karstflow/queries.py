@@ -13,7 +13,8 @@ from .plans.ast import Q, and_, cmp, exists, or_, parse
 from .plans.catalog import Catalog, TableSpec
 from .plans.planner import all_rows, closure, flat, nested, probe
 from .sources import readers
-from .streaming import fields
+from .sources.shared import shared_path
+from .streaming import fields, ingest
 
 N, S = "number", "string"
 SPECS = (
@@ -407,18 +408,52 @@ def serving_lag(c):
     return budget.serving_lag(e.where("version % 2 = 0"), e.where("version % 2 = 1")).select(F.col("group").alias("user_id"), "version", F.coalesce("lag", F.lit(-1)).cast("long").alias("lag"))
 
 
-@query("""WITH f AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+@query(f"{CHANGED} SELECT o_orderkey, o_custkey, o_orderstatus, due FROM a")
+def stream_foreach_batch(c):
+    """The changes as a stream of two files, each a micro-batch that is applied to a versioned table."""
+    spark, base, changes = c.frames["orders"].sparkSession, shared_path(c.frames["orders"].sparkSession, "stream"), order_changes(c)
+    table = ingest.VersionedTable(spark, f"{base}/table", c.scan("orders").schema, ["o_orderkey"])
+    table.create(c.scan("orders"))
+    half = changes.agg(F.max("watermark")).first()[0] // 2
+    for part in (f"watermark <= {half}", f"watermark > {half}"):
+        changes.where(part).coalesce(1).write.mode("append").parquet(f"{base}/changes")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/changes")
+    ingest.ingest(stream, table, f"{base}/progress").awaitTermination()
+    return table.read().select("o_orderkey", "o_custkey", "o_orderstatus", "due")
+
+
+FIELDS_SQL = """WITH f AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
           l AS (SELECT user_id, event_type FROM f WHERE back = 1)
           SELECT CAST(e.user_id AS VARCHAR) AS topic, e.event_type AS stream, string_agg(CAST(e.event_id AS VARCHAR) || ';', '' ORDER BY e.event_id) AS value, max(e.event_id) AS seq
-          FROM events e JOIN l USING (user_id, event_type) GROUP BY e.user_id, e.event_type""")
-def field_stream_accumulate(c):
+          FROM events e JOIN l USING (user_id, event_type) GROUP BY e.user_id, e.event_type"""
+
+
+def event_frames(c) -> DataFrame:
+    """Events as frames of field streams: a user is a topic, an event type a generation that starts with its last event."""
     e = c.scan("events")
     starts = e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("started"))
-    frames = e.join(starts, ["user_id", "event_type"]).select(
+    return e.join(starts, ["user_id", "event_type"]).select(
         F.col("user_id").cast("string").alias("topic"), F.col("event_type").alias("stream"), "started", F.col("event_id").alias("seq"), F.lit("append").alias("mode"),
         F.concat(F.col("event_id").cast("string"), F.lit(";")).alias("value"), F.lit(False).alias("ended"),
     )
-    return fields.accumulate(frames).select("topic", "stream", "value", "seq")
+
+
+@query(FIELDS_SQL)
+def field_stream_live(c):
+    """The same as a stream with state for each topic; each batch's states are written as they are put out."""
+    spark, base, frames = c.frames["events"].sparkSession, shared_path(c.frames["events"].sparkSession, "fields"), event_frames(c)
+    frames.write.parquet(f"{base}/frames")
+    states = fields.live_fields(spark.readStream.schema(frames.schema).parquet(f"{base}/frames"))
+    put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/states/batch={n}")
+    states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema(f"{fields.OUT}, batch long").parquet(f"{base}/states")
+    last = states.groupBy("topic").agg(F.max_by(F.struct("stream", "value", "seq"), "batch").alias("s"))
+    return last.select("topic", "s.stream", "s.value", "s.seq")
+
+
+@query(FIELDS_SQL)
+def field_stream_accumulate(c):
+    return fields.accumulate(event_frames(c)).select("topic", "stream", "value", "seq")
 
 
 @query(f"""WITH e AS (SELECT user_id, event_id, value, {MS} AS ms FROM events), w AS (SELECT user_id, floor(ms / 3600000) AS w, max(ms) AS last_at, arg_max(value, (ms, event_id)) AS value FROM e GROUP BY 1, 2)
