@@ -270,11 +270,11 @@ def score_texts(documents: DataFrame) -> DataFrame:
     n_blocks = max(1, -(-size // (2 * BLOCK_BYTES)))  # of each part; the kept one has three fifths
     bits = max(2, int(-(-size // BUCKET_BYTES)).bit_length())
     rows = rows.withColumn("block", (F.col("part") * n_blocks + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).cast("int"))
-    dealt = 6 * n_blocks
+    dealt = 3 * n_blocks  # each block is a partition of its own, so what a task reads stays the same at any size
     small_batches(spark)
-    asked = rows.select("block", "text").repartition(dealt, "block").sortWithinPartitions("block")
+    asked = rows.select("block", "text").repartitionById(dealt, F.col("block"))
     asked = asked.mapInArrow(asker(bits), "bucket int, kind int, block int, keys binary, counts binary")
-    asked = asked.repartition(1 << bits, "bucket").sortWithinPartitions("bucket", "kind", "block")
+    asked = asked.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("kind", "block")
     stats = "v_kept long, n_kept long, v long, n long"
     answers = settle(asked.mapInArrow(answerer(n_blocks), f"block int, kind int, bucket int, answer binary, {stats}"), "answers")
     sizes = Sizes(*(x or 0 for x in answers.where("block < 0").agg(*(F.sum(c) for c in ("v_kept", "n_kept", "v", "n"))).first()))
@@ -282,7 +282,7 @@ def score_texts(documents: DataFrame) -> DataFrame:
 
     def met(docs: DataFrame, known: DataFrame) -> DataFrame:
         both = docs.select("block", F.lit(True).alias("is_doc"), "doc_id", "held_out", "text").unionByName(known, allowMissingColumns=True)
-        return both.repartition(dealt, "block").sortWithinPartitions("block", "is_doc", "kind", "bucket")
+        return both.repartitionById(dealt, F.col("block")).sortWithinPartitions("is_doc", "kind", "bucket")
 
     held = met(rows.where(F.col("part") == HELD), answers.where(f"block >= {HELD * n_blocks} AND block < {TEST * n_blocks}"))
     got = held.mapInArrow(cells(sizes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
