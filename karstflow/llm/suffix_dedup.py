@@ -230,7 +230,8 @@ class Repeats:
 
         small_batches(self.spark, 1000)
         kinds = "a long, b long, n_blocks long, doc_id long, h long, pos int, off int, w0 int, w1 int, bytes binary"
-        return settle(once.mapInArrow(cut, kinds), "segments")
+        # a row that repeats gives equal segments, and its second would make the first's windows copies
+        return settle(once.mapInArrow(cut, kinds).distinct(), "segments")
 
     def covers(self, segments: DataFrame) -> DataFrame:
         """(a, b, spans): the bytes of a block, from its anchor, that lie in repeated windows."""

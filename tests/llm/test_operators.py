@@ -310,6 +310,22 @@ def test_first_copies_stay(spark, texts, group, monkeypatch):
         assert got == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("group", [32768, 1])
+def test_repeated_rows_keep_a_first_copy(spark, group, monkeypatch):
+    """Rows that repeat both id and text are one document: what they share with others stays in the first."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(12)
+    passage = sentence(rng, 50)
+    once = [(i, sentence(rng, 30) + " " + passage + " " + sentence(rng, 30)) for i in (3, 5, 8)] + [(9, sentence(rng, 90))]
+    docs = spark.createDataFrame(once + once[:1] * 2 + once[1:2], "doc_id long, text string").repartition(3)
+    by_text = {r.text: r.h for r in docs.select("text", suffix_dedup.F.xxhash64("text").alias("h")).collect()}
+    want = dict(zip((i for i, _ in once), cuts([((i, by_text[t]), t.encode()) for i, t in once], 200, True)))
+    got = suffix_dedup.repeat_digest(docs, 200, True).collect()
+    assert Counter((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got) == Counter({(i, want[i]): n for i, n in ((3, 3), (5, 2), (8, 1), (9, 1))})
+    left = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs).collect()}
+    assert [i for i in sorted(left) if passage in left[i]] == [3]
+
+
 def test_without_repeats(spark, documents):
     docs = odd(spark, documents)
     out = suffix_dedup.without_repeats(docs)
