@@ -443,7 +443,7 @@ def field_stream_live(c):
     """The same as a stream with state for each topic; each batch's states are written as they are put out."""
     spark, base, frames = c.frames["events"].sparkSession, shared_path(c.frames["events"].sparkSession, "fields"), event_frames(c)
     frames.write.parquet(f"{base}/frames")
-    states = fields.live_fields(spark.readStream.schema(frames.schema).parquet(f"{base}/frames"))
+    states = fields.live_fields(spark.readStream.schema(frames.schema).parquet(f"{base}/frames"), max_bytes=None)
     put = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/states/batch={n}")
     states.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
     states = spark.read.schema(f"{fields.OUT}, batch long").parquet(f"{base}/states")

@@ -63,26 +63,30 @@ STATE = "stream string, started long, seq long, value string, ended boolean"
 OUT = "topic string, stream string, seq long, value string, ended boolean, rejected long"
 
 
-def step(mode: str, max_bytes: int):
+def step(mode: str, max_bytes: int | None):
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stream, started, seq, value, ended = state.get if state.exists else (None, -1, -1, "", False)
-        rejected = 0
-        for frame in frames:
-            for r in frame.sort_values(["started", "seq"]).itertuples(index=False):
-                if r.stream != stream and r.started > started:
-                    stream, started, seq, value, ended = r.stream, r.started, -1, "", False
-                new = value + (r.value or "") if mode == "append" else r.value
-                if r.stream != stream or r.seq <= seq or ended or len((new or "").encode()) > max_bytes:
-                    rejected += 1
-                    continue
-                seq, value, ended = r.seq, new, bool(r.ended)
+        parts, size, rejected = [value], len((value or "").encode()), 0
+        # Spark cuts a topic's rows into frames in any order: all of a micro-batch are sorted together
+        for r in pd.concat(list(frames)).sort_values(["started", "seq"]).itertuples(index=False):
+            if r.stream != stream and r.started > started:
+                stream, started, seq, parts, size, ended = r.stream, r.started, -1, [""], 0, False
+            longer = len((r.value or "").encode()) + (size if mode == "append" else 0)
+            if r.stream != stream or r.seq <= seq or ended or (max_bytes is not None and longer > max_bytes):
+                rejected += 1
+                continue
+            parts = parts if mode == "append" else []
+            parts.append(r.value or "" if mode == "append" else r.value)
+            seq, size, ended = r.seq, longer, bool(r.ended)
+        value = "".join(parts) if mode == "append" else parts[0]
         state.update((stream, int(started), int(seq), value, ended))
         yield pd.DataFrame([(key[0], stream, int(seq), value, ended, rejected)], columns=["topic", "stream", "seq", "value", "ended", "rejected"])
 
     return fold
 
 
-def live_fields(frames: DataFrame, mode: str = "append", max_bytes: int = 1 << 20) -> DataFrame:
+def live_fields(frames: DataFrame, mode: str = "append", max_bytes: int | None = 1 << 20) -> DataFrame:
     """The streaming form: each topic's state after each batch. Stale generations, repeated or falling
-    sequence numbers, frames after the end and values over ``max_bytes`` are rejected and counted."""
+    sequence numbers, frames after the end and values over ``max_bytes`` are rejected and counted;
+    within a micro-batch the order of the rows doesn't matter. Without ``max_bytes`` no value is too long."""
     return frames.groupBy("topic").applyInPandasWithState(step(mode, max_bytes), OUT, STATE, "update", GroupStateTimeout.NoTimeout)

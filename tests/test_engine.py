@@ -292,6 +292,25 @@ def test_fields(spark, tmp_path):
     assert [(r.stream, r.value, r.rejected) for r in got] == [("s2", "ab", 1)]
 
 
+@pytest.mark.parametrize("frames_in_one", [2, 10_000])
+def test_live_fields_in_any_order(spark, tmp_path, frames_in_one):
+    """Rows that reach the fold in many chunks, and in falling order, are all kept; without a bound so are long values."""
+    rows = [("t", "s2", 2, i, "append", f"{i};", False) for i in range(40)] + [("t", "s1", 1, i, "append", "old", False) for i in range(9)] + [("u", "s", 1, i, "append", "x" * 300_000, False) for i in range(5)]
+    frames = spark.createDataFrame(rows[::-1], "topic string, stream string, started long, seq long, mode string, value string, ended boolean")
+    frames.coalesce(1).write.parquet(str(tmp_path / "frames"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, frames_in_one)
+    try:
+        live = fields.live_fields(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames")), max_bytes=None)
+        name = f"live_{frames_in_one}"
+        live.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set(key, before)
+    got = {(r.topic, r.stream, r.seq, r.rejected): r.value for r in spark.table(name).collect()}
+    assert got == {("t", "s2", 39, 0): "".join(f"{i};" for i in range(40)), ("u", "s", 4, 0): "x" * 1_500_000}
+
+
 def test_stream_ingest(spark, tmp_path):
     """Applying a stream batch by batch, and again after a restart, gives what one batch gives."""
     t = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
