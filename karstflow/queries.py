@@ -83,6 +83,7 @@ ask("literal_left_deny", "SELECT r_regionkey FROM region WHERE 1 = 0", Q("region
 
 ask("order_null_smallest", f"WITH o AS ({DUE}) SELECT o_orderkey, due FROM o ORDER BY due NULLS FIRST, o_orderkey LIMIT 50", Q("orders").order_by("due").limit(50), "o_orderkey", "due")
 ask("order_null_desc", f"WITH o AS ({DUE}) SELECT o_orderkey, due FROM o WHERE o_orderkey <= 200 ORDER BY due DESC NULLS LAST, o_orderkey LIMIT 190", Q("orders").where("o_orderkey", "<=", 200).order_by("due", "desc").limit(190), "o_orderkey", "due")
+ask("order_null_desc_whole", f"WITH o AS ({DUE}) SELECT o_orderkey, due FROM o ORDER BY due DESC NULLS LAST, o_orderkey", Q("orders").order_by("due", "desc"), "o_orderkey", "due")
 ask("order_pk_tiebreak", "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 25", Q("customer").order_by("c_mktsegment", "desc").limit(25), "c_custkey", "c_mktsegment")
 ask("limit_topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100", Q("orders").order_by("o_totalprice", "desc").limit(100), "o_orderkey", "o_totalprice")
 ask("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", Q("orders").limit(0), "o_orderkey")
@@ -149,6 +150,11 @@ def related_empty_list(c):
     return nested(q.ast, c).select("o_orderkey", F.size("lines").cast("long").alias("n_lines"))
 
 
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines FROM orders")
+def related_empty_list_whole(c):
+    return nested(Q("orders").related("lines", ORDER_LINES).ast, c).select("o_orderkey", F.size("lines").cast("long").alias("n_lines"))
+
+
 @query("""WITH j AS (SELECT o_orderkey, p_partkey, p_size, row_number() OVER (PARTITION BY o_orderkey ORDER BY p_size DESC, p_partkey) AS rn
           FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderkey <= 500 AND p_size > 10)
           SELECT o_orderkey, rn AS place, p_size FROM j WHERE rn <= 2""")
@@ -160,6 +166,16 @@ def related_junction(c):
     return rows.select("o_orderkey", (F.col("i") + 1).cast("long").alias("place"), "p.p_size")
 
 
+@query("""WITH j AS (SELECT o_orderkey, p_partkey, p_size, row_number() OVER (PARTITION BY o_orderkey ORDER BY p_size DESC, p_partkey) AS rn
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE p_size > 10)
+          SELECT o_orderkey, rn AS place, p_size FROM j WHERE rn <= 2""")
+def related_junction_whole(c):
+    parts = Q("part").where("p_size", ">", 10).order_by("p_size", "desc").limit(2)
+    q = Q("orders").related("link", ORDER_LINES, Q("lineitem").related("parts", ("part", "l_partkey", "p_partkey"), parts), hidden=True)
+    rows = nested(q.ast, c).select("o_orderkey", F.posexplode("parts").alias("i", "p"))
+    return rows.select("o_orderkey", (F.col("i") + 1).cast("long").alias("place"), "p.p_size")
+
+
 CLOSURE = Q("customer").where("c_acctbal", ">", 9500).where_exists(CUSTOMER_ORDERS, Q("orders").where("o_orderstatus", "P")).related("nation", ("nation", "c_nationkey", "key"))
 CLOSURE_SQL = """r AS (SELECT * FROM customer WHERE c_acctbal > 9500 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')),
 k AS (SELECT 'customer' AS row_table, '{"c_custkey":' || c_custkey || '}' AS row_pk FROM r
@@ -477,6 +493,15 @@ def atomic_visibility(c):
     return history.atomic_visibility(effects, reads).withColumnRenamed("group", "g")
 
 
+@query("""WITH e AS (SELECT o_custkey AS g, o_orderkey AS k FROM orders), r AS (SELECT l_suppkey % 5 AS read, l_orderkey AS k, max(CASE WHEN l_quantity > 25 THEN 2 END) AS v FROM lineitem GROUP BY 1, 2),
+          m AS (SELECT g, read, count(*) AS covered, sum(CASE WHEN v >= 1 THEN 1 ELSE 0 END) AS seen FROM e JOIN r USING (k) GROUP BY 1, 2)
+          SELECT m.g, m.read, CAST(seen AS BIGINT) AS seen, n AS effects FROM m JOIN (SELECT g, count(*) AS n FROM e GROUP BY g) USING (g) WHERE covered = n AND seen > 0 AND seen < n""")
+def atomic_visibility_whole(c):
+    effects = c.scan("orders").select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("key"), F.lit(1).alias("version"))
+    reads = c.scan("lineitem").groupBy((F.col("l_suppkey") % 5).alias("read"), F.col("l_orderkey").alias("key")).agg(F.max(F.when(F.col("l_quantity") > 25, 2)).alias("version"))
+    return history.atomic_visibility(effects, reads).withColumnRenamed("group", "g")
+
+
 # ---- values ----
 
 
