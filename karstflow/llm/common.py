@@ -14,13 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Only a local session may go without one that is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="karstflow-"))
-        named = sc.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="karstflow-"))
+        named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/karstflow-{spark.sparkContext.applicationId}"
 
 
@@ -33,6 +33,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch on its way to Python; a single longer row travels alone.
+BATCH_BYTES = 8 << 20
+
+
+def byte_batches(spark: SparkSession) -> None:
+    """Batches are bounded by their bytes, long texts or not. All operators set the one value, so whatever
+    is planned now and run later finds it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts travel to Python in batches of few rows, so a batch stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -4,25 +4,28 @@ A document's set are its distinct five-word shingles; documents with Jaccard sim
 3/4 are linked. Documents with equal sets form one class, and only classes travel. Each of ``TREES``
 independent trees branches a class by ``BRANCH`` chosen minwise tokens at each node, so a node holds
 the classes that share its path of tokens. Nodes of up to ``LEAF`` classes are compared
-exhaustively; a larger node is first compared with one pivot, the member nearest to the node's
-majority, and then, only if it holds classes not yet in the pivot's group, this rest is compared with
-the whole node on full sets, in blocks of ``BLOCK`` by ``SLICE`` classes over an inverted index. A rest
-of more than ``REST`` classes is branched again instead; at ``DEPTH`` it is compared in blocks whatever
-its size. So a group of thousands of near copies costs a star of links, not all pairs, and no node is
-cut short.
+exhaustively. Of a larger node one pivot, the member nearest to the node's majority, is compared with
+all others; a node whose members are then in one group is done. In any other, if up to ``REST`` classes
+are outside the pivot's group, they are compared with the whole node on full sets, in blocks of
+``BLOCK`` by ``SLICE`` classes over an inverted index; else the node is branched again. At ``DEPTH``
+the rest is compared in blocks whatever its size. ``REST`` and ``DEPTH`` choose between two complete
+ways, so they change the work and not the outcome. So a group of thousands of near copies costs a star
+of links, not all pairs, and no node is cut short.
 At similarity 3/4 one tree misses a pair with a chance under 1/9 at any depth, all trees 3e-8;
 a 128-bit sketch only drops comparisons 4.8 standard deviations below 3/4.
 
 Every comparison that passes the sketch is confirmed on the full shingle sets read from the texts
 again. Groups are the components of the confirmed links: smallest-label steps with shortcuts, all
-as joins. Nodes with more than 1/4096 of a level's rows are dealt out by a broadcast of at most 4096
-nodes; the others are bounded by that share.
+as joins. A task holds a node of up to ``HELD`` classes; larger ones, at most one for ``HELD`` rows, are
+never dealt out by node: their majorities and pivots are aggregates, which sum up where the rows lie.
 
 Cases: a null or empty text, or one of white space, has an empty set and is linked with nothing;
 fewer than five words are one shingle, told apart from longer ones; rows that repeat an id and a
 text are the same document, rows that repeat an id with another text are judged by their own text;
 a null id takes part and gets its group's smallest id, null if the whole group has none; an empty
-table gives no rows. Extra columns are kept by ``drop_near_copies`` and not read elsewhere.
+table gives no rows. ``drop_near_copies`` keeps one row of each group, the one with the smallest
+(id, text hash), null ids last (any one of rows that repeat both), and all rows with an empty set; it
+keeps extra columns, which are not read elsewhere.
 """
 
 from __future__ import annotations
@@ -35,10 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fresh, settle, sized, small_batches
+from .common import byte_batches, fresh, settle, sized
 
 TREES, BRANCH, HASHES, LEAF, DEPTH = 8, 2, 128, 64, 10
 REST, BLOCK, SLICE = 4096, 1024, 8192
+#: Members of one node that a task holds, 0.5 MB.
+HELD = 1 << 14
 #: Sketch bits that agree: 112 of 128 on average at similarity 3/4, standard deviation 3.7.
 NEAR_BITS = 94
 MULTIPLIERS = T.seeds(HASHES, 3) | np.uint64(1)
@@ -131,30 +136,37 @@ def agree(a1, a2, b1, b2) -> np.ndarray:
     return 128 - np.bitwise_count((a1 ^ b1).view(np.uint64)).astype(np.int64) - np.bitwise_count((a2 ^ b2).view(np.uint64))
 
 
-FOUND = "node long, a long, b long, s1 long, s2 long"
+FOUND = "node long, a long, b long, near boolean, s1 long, s2 long"
 
 
-def found_batch(node, a, b, s1=None, s2=None) -> pa.RecordBatch:
-    """Pairs have no node; a large node's members name it and have no partner (b)."""
-    n = len(a)
-    columns = [pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (node, a, b, s1, s2)]
-    return pa.RecordBatch.from_arrays(columns, ["node", "a", "b", "s1", "s2"])
+def found_batch(node, a, b, near=None, s1=None, s2=None) -> pa.RecordBatch:
+    """Pairs have no node; a large node's members name it and its pivot (b)."""
+    columns = [pa.nulls(len(a), kind) if x is None else pa.array(x, kind) for x, kind in zip((node, a, b, near, s1, s2), [pa.int64()] * 3 + [pa.bool_()] + [pa.int64()] * 2)]
+    return pa.RecordBatch.from_arrays(columns, ["node", "a", "b", "near", "s1", "s2"])
+
+
+def star(s1: np.ndarray, s2: np.ndarray) -> tuple[int, np.ndarray]:
+    """The member whose first 64 sketch bits are nearest to the majority's, and which members are near to it."""
+    bits = np.unpackbits(s1.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    most = 2 * bits.sum(axis=0, dtype=np.int64) > len(s1)
+    p = int(np.argmax((bits == most).sum(axis=1)))
+    return p, agree(s1, s2, s1[p], s2[p]) >= NEAR_BITS
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes in order: all near pairs of a node of up to LEAF classes; a larger node's members as they are.
-    No more than LEAF members of a node are held from one batch to the next."""
+    """Nodes in order, of up to HELD members each: all near pairs of a node of up to LEAF classes; a larger
+    node's members with its pivot. The last node of a batch is held until the next batch shows where it ends."""
     held = [np.empty(0, np.int64)] * 4
-    large = None  # a large node that goes on into the next batch
 
     def whole(node, cid, s1, s2):
         cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         sizes = np.diff(np.append(cuts, len(node)))
         size = np.repeat(sizes, sizes)
-        big = size > LEAF
-        if big.any():
-            yield found_batch(node[big], cid[big], None, s1[big], s2[big])
-        at = np.flatnonzero((size > 1) & ~big)
+        for i, n in zip(cuts[sizes > LEAF], sizes[sizes > LEAF]):
+            mine = slice(i, i + n)
+            p, near = star(s1[mine], s2[mine])
+            yield found_batch(node[mine], cid[mine], np.full(n, cid[i + p]), near, s1[mine], s2[mine])
+        at = np.flatnonzero((size > 1) & (size <= LEAF))
         for d in range(1, LEAF):
             at = at[at + d < len(node)]
             at = at[node[at + d] == node[at]]
@@ -166,50 +178,38 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield found_batch(None, np.minimum(i, j), np.maximum(i, j))
 
     for batch in batches:
-        rows = [batch[c].to_numpy() for c in ("node", "cid", "s1", "s2")]
-        if large is not None:
-            other = np.flatnonzero(rows[0] != large)
-            n = int(other[0]) if len(other) else len(rows[0])
-            if n:
-                yield found_batch(rows[0][:n], rows[1][:n], None, rows[2][:n], rows[3][:n])
-            rows = [x[n:] for x in rows]
-            if not len(rows[0]):
-                continue
-            large = None
-        rows = [np.concatenate(x) for x in zip(held, rows)]
-        if not len(rows[0]):
-            continue
-        last = int(np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))[-1])
-        done, held = [x[:last] for x in rows], [x[last:] for x in rows]
-        if len(done[0]):
-            yield from whole(*done)
-        if len(held[0]) > LEAF:
-            large = held[0][0]
-            yield from whole(*held)
-            held = [np.empty(0, np.int64)] * 4
+        rows = [np.concatenate([old, batch[c].to_numpy()]) for old, c in zip(held, ("node", "cid", "s1", "s2"))]
+        if len(rows[0]):
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            held = [x[last:] for x in rows]
+            if last:
+                yield from whole(*(x[:last] for x in rows))
     if len(held[0]):
         yield from whole(*held)
 
 
-def visit(rows: DataFrame, n_rows: int) -> DataFrame:
+def visit(rows: DataFrame) -> DataFrame:
     """What ``walk`` finds in all nodes of one level."""
-    most = max(LEAF, n_rows // 4096)
-    hot = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most).select("node")
-    hot = F.broadcast(hot)  # fewer than 4096 nodes can hold more than 1/4096 of the rows each
-    cold = rows.join(hot, "node", "left_anti").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(walk, FOUND)
-    return cold.unionByName(rows.join(hot, "node").select("node", F.col("cid").alias("a"), F.lit(None).cast("long").alias("b"), "s1", "s2"))
+    hot = settle(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("node"), "hot")
+    if not (n := hot.count()):
+        return rows.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(walk, FOUND)
+    cold = rows.join(sized(hot, n), "node", "left_anti").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(walk, FOUND)
+    return cold.unionByName(hot_stars(settle(rows.join(sized(hot, n), "node", "left_semi"), "hot"), n))
 
 
-def pivots(members: DataFrame) -> DataFrame:
-    """(node, b, p1, p2): of each large node the member whose sketch is nearest to the majority of the first 64 bits."""
-    votes = members.groupBy("node").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("s1", i).bitwiseAND(1)).alias(f"v{i}") for i in range(64)))
+def hot_stars(members: DataFrame, n: int) -> DataFrame:
+    """``star`` of the ``n`` nodes that hold too many members for a task."""
+    votes = members.groupBy("node").agg(F.count("*").alias("n"), *(F.sum(F.shiftrightunsigned("s1", i).bitwiseAND(1)).alias(f"v{i}") for i in range(64)))
     bit = lambda i: F.when(F.col(f"v{i}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     most = bit(0)
     for i in range(1, 64):
         most = most.bitwiseOR(bit(i))
-    near = members.join(votes.select("node", most.alias("most")), "node").withColumn("near", 64 - F.bit_count(F.col("s1").bitwiseXOR(F.col("most"))))
-    best = near.groupBy("node").agg(F.max(F.struct("near", "a", "s1", "s2")).alias("p"))
-    return best.select("node", F.col("p.a").alias("b"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2"))
+    most = settle(votes.select("node", most.alias("most")), "majorities")
+    near = members.join(sized(most, n), "node").withColumn("near", 64 - F.bit_count(F.col("s1").bitwiseXOR(F.col("most"))))
+    best = near.groupBy("node").agg(F.max(F.struct("near", (-F.col("cid")).alias("neg"), "s1", "s2")).alias("p"))
+    best = settle(best.select("node", (-F.col("p.neg")).alias("b"), F.col("p.s1").alias("p1"), F.col("p.s2").alias("p2")), "pivots")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2")))
+    return members.join(sized(best, n), "node").select("node", F.col("cid").alias("a"), "b", (apart <= 128 - NEAR_BITS).alias("near"), "s1", "s2")
 
 
 def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,18 +292,6 @@ def compare_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield block.links(part)
 
 
-def same_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose text has the class's key (an id may stand at several texts)."""
-    for batch in batches:
-        data, offs = T.buffers(batch["text"])
-        good = []
-        for i, j in T.spans(offs, T.CHUNK):
-            k1, k2 = keys_of(*sets_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-            good.append((k1 == batch["k1"][i:j].to_numpy()) & (k2 == batch["k2"][i:j].to_numpy()))
-        keep = pa.array(np.concatenate(good)) if good else pa.array([], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch["cid"].filter(keep), batch["text"].filter(keep)], ["cid", "text"])
-
-
 def components(links: DataFrame) -> DataFrame:
     """(cid, label) of every linked class: label is the smallest cid that links lead to."""
     edges = settle(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -328,23 +316,20 @@ class Join:
 
     def __init__(self, documents: DataFrame):
         self.spark = documents.sparkSession
-        self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        small_batches(self.spark)
-        hashed = self.texts.withColumn("h", F.xxhash64("text"))
+        byte_batches(self.spark)
+        self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
         kinds = "doc_id long, h long, n_shingles long, k1 long, k2 long, s1 long, s2 long, tokens binary"
-        self.rows = settle(hashed.select("doc_id", "h", "text").mapInArrow(sketch, kinds), "sketches")
-        same = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("s1", "s2", "tokens")))
+        self.rows = settle(self.texts.select("doc_id", "h", "text").mapInArrow(sketch, kinds), "sketches")
+        place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+        same = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(place).alias("first"), *(F.first(c).alias(c) for c in ("s1", "s2", "tokens")))
         self.classes = settle(same.withColumn("cid", F.monotonically_increasing_id()), "classes")
-        small_batches(self.spark, 10_000)
 
     def read_texts(self, found: DataFrame) -> None:
         """Write down the texts of all classes that any comparison can need."""
-        needed = found.select(F.col("a").alias("cid")).union(found.where("b IS NOT NULL").select("b")).distinct()
-        needed = self.classes.select("cid", "least", "k1", "k2").join(needed, "cid")
-        rows = self.texts.join(needed, F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "k1", "k2", "text")
-        small_batches(self.spark)
-        self.known = settle(rows.mapInArrow(same_text, "cid long, text string").groupBy("cid").agg(F.first("text").alias("text")), "texts")
-        small_batches(self.spark, 10_000)
+        needed = found.select(F.col("a").alias("cid")).union(found.where("node IS NULL").select("b")).distinct()
+        needed = self.classes.select("cid", F.col("first.doc_id").alias("of"), F.col("first.h").alias("of_h")).join(needed, "cid")
+        rows = self.texts.join(needed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")))
+        self.known = settle(rows.groupBy("cid").agg(F.first("text").alias("text")), "texts")  # a row may stand several times
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         pairs = settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
@@ -353,47 +338,43 @@ class Join:
             texts = texts.join(sized(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), 2 * n), "cid", "left_semi")
         both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
         both = both.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
-        small_batches(self.spark, 500)
-        links = settle(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long"), "links")
-        small_batches(self.spark, 10_000)
-        return links
+        return settle(both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long"), "links")
 
     def labels(self) -> DataFrame:
         """(cid, label) of all linked classes."""
         rows = settle(self.classes.select("cid", "s1", "s2", "tokens").mapInArrow(roots, ROW), "level")
         links = labels = None
         for depth in range(DEPTH + 1):
-            found = settle(visit(rows, rows.count()), "found")
-            members = found.where("node IS NOT NULL").select("node", "a", "s1", "s2")
+            found = settle(visit(rows), "found")
             if depth == 0:
                 self.read_texts(found)
-            near = F.bit_count(F.col("s1").bitwiseXOR(F.col("p1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("p2"))) <= 128 - NEAR_BITS
-            starred = settle(members.join(pivots(members), "node").withColumn("near", near), "members")
-            pairs = found.where("node IS NULL").select("a", "b").union(starred.where("near").select("a", "b"))
+            pairs = found.where("node IS NULL OR near").select("a", "b")
             new = self.confirmed(pairs if labels is None else unlinked(pairs, labels))
             links = new if links is None else links.union(new)
             labels = components(links)
-            open_ = self.unfinished(starred, labels)
+            open_ = self.unfinished(found.where("node IS NOT NULL"), labels)
             if open_ is None:
                 break
-            links = links.union(self.rest_links(open_ if depth == DEPTH else open_.where(F.col("rest") <= REST)))
+            near = self.rest_links(open_ if depth == DEPTH else open_.where(F.col("rest") <= REST))
+            links = links.union(near)
             deep = open_.where(F.lit(depth < DEPTH) & (F.col("rest") > REST)).select("node", F.col("a").alias("cid"), "s1", "s2")
             if deep.isEmpty():
-                labels = components(links)
+                labels = labels if near.isEmpty() else components(links)
                 break
             rows = settle(deep.join(self.classes.select("cid", "tokens"), "cid").select("node", "cid", "s1", "s2", "tokens").mapInArrow(branch, ROW), "level")
         return labels
 
-    def unfinished(self, starred: DataFrame, labels: DataFrame) -> DataFrame | None:
+    def unfinished(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
         """Members (with label l) of the nodes that hold classes outside their pivot's group; how many those and all are."""
-        n = labels.count()
-        of = labels.withColumnRenamed("label", "l")
-        rows = starred.join(sized(of.withColumnRenamed("cid", "a"), n), "a", "left").withColumn("l", F.coalesce("l", "a"))
-        rows = rows.join(sized(of.select(F.col("cid").alias("b"), F.col("l").alias("pl")), n), "b", "left").withColumn("pl", F.coalesce("pl", "b"))
-        rows = rows.select("node", "a", "l", "s1", "s2", (F.col("l") != F.col("pl")).alias("out"))
-        rest = rows.groupBy("node").agg(F.sum(F.col("out").cast("long")).alias("rest"), F.count("*").alias("size")).where("rest > 0")
-        rows = settle(rows.join(rest, "node"), "unfinished")
-        return None if rows.isEmpty() else rows
+        of = labels.select(F.col("cid").alias("a"), F.col("label").alias("l"))
+        rows = settle(members.join(sized(of, labels.count()), "a", "left").withColumn("l", F.coalesce("l", "a")), "members")
+        nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.max(F.when(F.col("a") == F.col("b"), F.col("l"))).alias("pl"), F.min("l").alias("least"), F.max("l").alias("most"))
+        nodes = settle(nodes.where("least < most").select("node", "size", "pl"), "nodes")  # the others are one group each
+        if not (n := nodes.count()):
+            return None
+        rows = settle(rows.join(sized(nodes, n), "node").select("node", "a", "l", "s1", "s2", "size", (F.col("l") != F.col("pl")).alias("out")), "unfinished")
+        rest = settle(rows.where("out").groupBy("node").agg(F.count("*").alias("rest")), "rests")
+        return rows.join(sized(rest, n), "node")
 
     def rest_links(self, rows: DataFrame) -> DataFrame:
         """Confirmed links between a node's rest and all its members: the rest in blocks, the members in slices."""
@@ -403,10 +384,16 @@ class Join:
         rest = rows.where("out").select("node", part("b", "blocks").alias("block"), all_of("slices").alias("slice"), F.lit(0).alias("role"), F.col("a").alias("cid"), "l")
         others = rows.select("node", all_of("blocks").alias("block"), part("s", "slices").alias("slice"), F.lit(1).alias("role"), F.col("a").alias("cid"), "l")
         met = rest.unionByName(others).join(self.known, "cid").repartition("node", "block", "slice").sortWithinPartitions("node", "block", "slice", "role", "cid")
-        small_batches(self.spark, 500)
-        links = settle(met.select("node", "block", "slice", "role", "cid", "l", "text").mapInArrow(compare_rest, "a long, b long"), "links")
-        small_batches(self.spark, 10_000)
-        return links
+        return settle(met.select("node", "block", "slice", "role", "cid", "l", "text").mapInArrow(compare_rest, "a long, b long"), "links")
+
+    def groups(self) -> DataFrame:
+        """doc_id, h (the text's hash), n_shingles and the first row (doc_id, h) of each row's group; no first for an empty set."""
+        classes = self.classes.select("k1", "k2", "cid", "first").join(self.labels(), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        first = settle(classes.groupBy("label").agg(F.min("first").alias("first")), "firsts")
+        classes = classes.drop("first").join(sized(first, first.count()), "label").select("k1", "k2", "first")
+        rows = self.rows.select("doc_id", "h", "n_shingles", "k1", "k2")
+        full = rows.where("n_shingles > 0").join(classes, ["k1", "k2"]).select("doc_id", "h", "n_shingles", "first")
+        return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "h", "n_shingles"), allowMissingColumns=True)
 
 
 def unlinked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -416,26 +403,24 @@ def unlinked(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def grouped(documents: DataFrame) -> DataFrame:
-    """doc_id, h (the text's hash), n_shingles and component_id of each row."""
-    join = Join(documents)
-    labels = join.labels()
-    classes = join.classes.select("k1", "k2", "cid", "least").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = classes.join(least, "label").select("k1", "k2", "component_id")
-    rows = join.rows.select("doc_id", "h", "n_shingles", "k1", "k2")
-    full = rows.where("n_shingles > 0").join(classes, ["k1", "k2"]).select("doc_id", "h", "n_shingles", "component_id")
-    return full.unionByName(rows.where("n_shingles = 0").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
 def near_groups(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links lead to) and kept (it is that id)."""
-    return grouped(documents).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    least = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    rows = Join(documents).groups().select("doc_id", "n_shingles", least.alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(documents: DataFrame) -> DataFrame:
-    """The documents but for those whose group has a smaller id, with their own columns."""
-    gone_id, gone_h, name = (fresh(documents, c) for c in ("gone_id", "gone_h", "text_hash"))
-    gone = grouped(documents).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone_id), F.col("h").alias(gone_h)).distinct()
-    rows = documents.withColumn(name, F.xxhash64(F.col("text").cast("string")))
-    return rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(name) == F.col(gone_h)), "left_anti").select(*documents.columns)
+    """One row of each group, and the rows with an empty set, with their own columns."""
+    of_id, of_h, name = (fresh(documents, c) for c in ("gone_id", "gone_h", "text_hash"))
+    groups = settle(Join(documents).groups().where("first IS NOT NULL").select("doc_id", "h", (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.h") == F.col("h"))).alias("is_first")), "groups")
+    key = (F.col("doc_id").alias(of_id), F.col("h").alias(of_h))
+    gone = groups.where("NOT is_first").select(*key).distinct()
+    again = settle(groups.where("is_first").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1").select(*key), "again")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & (F.col(name) == F.col(of_h))
+    rows = documents.withColumn(name, F.xxhash64(F.col("text").cast("string"))).join(gone, same, "left_anti")
+    if n := again.count():  # first rows that stand several times: any one of them stays
+        others = [c for c in documents.columns if c != "doc_id"]
+        once = rows.join(sized(again, n), same, "left_semi").groupBy("doc_id", name).agg(F.first(F.struct(*others)).alias("r")).select("doc_id", name, "r.*")
+        rows = rows.join(sized(again, n), same, "left_anti").unionByName(once)
+    return rows.select(*documents.columns)
