@@ -4,14 +4,15 @@ A full suffix sort of a corpus doesn't distribute, so suffixes are dealt into bu
 equal passages are sure to meet. Each window of ``min_len`` bytes elects one anchor, its smallest
 ``GRAM``-byte hash (leftmost of equals): equal windows elect equal anchors at equal offsets.
 1. Anchor hashes are counted over all texts (pre-aggregated in tasks, then summed).
-2. Occurrences of hashes that stand more than once are kept, each with the hash of its block: all
+2. Occurrences of hashes that stand more than once are kept, each with a 128-bit hash of its block: all
    bytes that its windows can reach. Equal blocks are repeats as a whole.
 3. Where an anchor has several distinct blocks, one of each is cut from its text and the bucket's
    windows are put in suffix order. From the order, the LCP of neighbours and the previous and next
    smaller text positions come the longest previous factor (LPF) and, mirrored, the longest next
    factor of each suffix. A window is an earlier match's copy if its LPF reaches ``min_len``.
-4. An anchor with over ``GROUP`` distinct blocks (a passage in very many surroundings) is not put in
-   one task: its suffixes are grouped by hash over the cluster instead, with the same outcome.
+4. A bucket takes up to ``GROUP`` distinct blocks of an anchor; an anchor with more (a passage in very
+   many surroundings) is dealt into several buckets. Each leaves one window of those that are equal, its
+   first, and these few of all buckets are matched by 128-bit window hashes over the cluster.
 Spans go back to their documents by (doc_id, text hash), where they are merged and cut out.
 
 ``keep_first`` removes later copies and keeps the first in order of (doc_id, text hash, position);
@@ -36,15 +37,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fresh, settle, small_batches
+from .common import byte_batches, fresh, settle, sized
 
 MIN_LEN, GRAM = 200, 64
 #: Window starts handled at once; index bits below the hash in the election.
 STEP, BITS = (1 << 20) - 1024, 20
-#: Distinct blocks of one anchor that one task sorts (11 MB of segments); beyond it the cluster does.
-GROUP = 32_768
+#: Distinct blocks of one anchor in a bucket (0.7 MB of segments).
+GROUP = 2048
 #: Suffixes put in order at once; more of one bucket are taken offset by offset, as equal ones share theirs.
 SUFFIXES = 1 << 16
+BYTE_2 = T.seeds(256, 7)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -59,7 +61,7 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class Anchors:
-    """The anchors of a batch of texts: row, position and end of the row's bytes, hash, block hash, and the
+    """The anchors of a batch of texts: row, position and end of the row's bytes, hash, block hashes, and the
     first and last window (as offsets from the anchor, 0 or less) that elected it."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, min_len: int, blocks: bool = True):
@@ -93,17 +95,19 @@ class Anchors:
                 row = np.searchsorted(offs, at, "right") - 1
                 a, b = np.maximum(offs[row], at - reach), np.minimum(offs[row + 1], at + min_len)
                 with np.errstate(over="ignore"):
-                    block = (total[b - r0] - total[a - r0]) * down[a - r0] + (at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b - a).astype(np.uint64)
-                columns.append(T.mix(block).view(np.int64))
+                    shape = (at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b - a).astype(np.uint64)
+                    columns.append(T.mix((total[b - r0] - total[a - r0]) * down[a - r0] + shape).view(np.int64))
+                    np.cumsum(BYTE_2[data[r0:r1]] * up[: r1 - r0], out=total[1:])
+                    columns.append(T.mix((total[b - r0] - total[a - r0]) * down[a - r0] + shape).view(np.int64))
             out.append(columns)
-        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 6
         again = np.zeros(len(columns[0]), bool)  # an anchor of two steps is met twice
         again[1:] = columns[0][1:] == columns[0][:-1]
         if again.any():
             columns[3][np.flatnonzero(again) - 1] = columns[3][again]
             columns = [c[~again] for c in columns]
         self.at, self.hash, self.first, self.last = columns[:4]
-        self.block = columns[4] if blocks else None
+        self.block, self.block_2 = columns[4:6] if blocks else (None, None)
         self.row = np.searchsorted(offs, self.at, "right") - 1
         self.pos = self.at - offs[self.row]
 
@@ -146,7 +150,8 @@ def suffix_order(suffixes: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.
     return order, lcp
 
 
-OCCURRENCE = "doc_id long, h long, pos int, a long, b long"
+OCCURRENCE = "doc_id long, h long, pos int, a long, b long, b2 long"
+BLOCK = ["a", "b", "b2"]
 SPANS = "array<struct<s:int,e:int>>"
 
 
@@ -178,7 +183,7 @@ class Repeats:
                 a, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n.astype(np.int32))], ["a", "n"])
 
-        small_batches(self.spark, 4000)
+        byte_batches(self.spark)
         return settle(self.texts.select("text").mapInArrow(count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"), "anchors")
 
     def occurrences(self) -> DataFrame:
@@ -190,8 +195,8 @@ class Repeats:
                     x = Anchors(data, offs, min_len)
                     row = pa.array(x.row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch["doc_id"][i:j].take(row), batch["h"][i:j].take(row), pa.array(x.pos.astype(np.int32)), pa.array(x.hash), pa.array(x.block)],
-                        ["doc_id", "h", "pos", "a", "b"],
+                        [batch["doc_id"][i:j].take(row), batch["h"][i:j].take(row), pa.array(x.pos.astype(np.int32)), pa.array(x.hash), pa.array(x.block), pa.array(x.block_2)],
+                        ["doc_id", "h", "pos", *BLOCK],
                     )
 
         found = self.texts.select("doc_id", "h", "text").mapInArrow(find, OCCURRENCE)
@@ -201,8 +206,14 @@ class Repeats:
         """One segment for each distinct block of the anchors that have several: its bytes and its windows."""
         min_len = self.min_len
         reach = min_len - GRAM
-        several = blocks.groupBy("a").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1")
-        asked = blocks.join(several, "a").select("first.doc_id", "first.h", F.struct("first.pos", "a", "b", "n_blocks").alias("x"))
+        several = settle(blocks.groupBy("a").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1"), "several")
+        hot = several.where(F.col("n_blocks") > GROUP)
+        n = hot.count()  # an anchor's blocks aren't dealt out by the anchor where they are many
+        asked = blocks.join(several.where(F.col("n_blocks") <= GROUP), "a")
+        if n:
+            asked = blocks.join(sized(hot.select("a"), n), "a", "left_anti").join(several, "a").unionByName(blocks.join(sized(hot, n), "a"))
+        salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n_blocks") / GROUP)).cast("int")
+        asked = asked.select("first.doc_id", "first.h", F.struct("first.pos", *BLOCK, salt.alias("salt"), (F.col("n_blocks") > GROUP).alias("hot")).alias("x"))
         asked = asked.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list("x").alias("asked"))  # at most the anchors of one text
         once = self.texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("doc_id", "h", "text", "asked")
 
@@ -223,59 +234,71 @@ class Repeats:
                     blob = [data[l:r].tobytes() for l, r in zip(left, right)]
                     pick, doc = pa.array(mine), pa.array(asked_row[mine])
                     yield pa.RecordBatch.from_arrays(
-                        [flat.field("a").take(pick), flat.field("b").take(pick), flat.field("n_blocks").take(pick), batch["doc_id"].take(doc), batch["h"].take(doc), pa.array(want_pos[mine]),
+                        [*(flat.field(c).take(pick) for c in (*BLOCK, "salt", "hot")), batch["doc_id"].take(doc), batch["h"].take(doc), pa.array(want_pos[mine]),
                          pa.array((at - left).astype(np.int32)), pa.array(x.first[k].astype(np.int32)), pa.array(x.last[k].astype(np.int32)), pa.array(blob, pa.binary())],
-                        ["a", "b", "n_blocks", "doc_id", "h", "pos", "off", "w0", "w1", "bytes"],
+                        [*BLOCK, "salt", "hot", "doc_id", "h", "pos", "off", "w0", "w1", "bytes"],
                     )
 
-        small_batches(self.spark, 1000)
-        kinds = "a long, b long, n_blocks long, doc_id long, h long, pos int, off int, w0 int, w1 int, bytes binary"
+        byte_batches(self.spark)
+        kinds = "a long, b long, b2 long, salt int, hot boolean, doc_id long, h long, pos int, off int, w0 int, w1 int, bytes binary"
         # a row that repeats gives equal segments, and its second would make the first's windows copies
         return settle(once.mapInArrow(cut, kinds).distinct(), "segments")
 
     def covers(self, segments: DataFrame) -> DataFrame:
-        """(a, b, spans): the bytes of a block, from its anchor, that lie in repeated windows."""
+        """(a, b, b2, spans): the bytes of a block, from its anchor, that lie in repeated windows."""
         min_len, keep_first = self.min_len, self.keep_first
-        small_batches(self.spark, 2000)
-        few = segments.where(F.col("n_blocks") <= GROUP).repartition("a").sortWithinPartitions("a", "doc_id", "h", "pos")
-        return few.mapInArrow(bucket(min_len, keep_first), f"a long, b long, spans {SPANS}").unionByName(self.hot_covers(segments.where(F.col("n_blocks") > GROUP)))
-
-    def hot_covers(self, segments: DataFrame) -> DataFrame:
-        """The same for anchors with very many blocks: suffixes grouped by hash over the cluster."""
+        byte_batches(self.spark)
+        dealt = segments.repartition("a", "salt").sortWithinPartitions("a", "salt", "doc_id", "h", "pos")
+        found = settle(dealt.mapInArrow(bucket(min_len, keep_first), f"a long, b long, b2 long, spans {SPANS}, open array<int>"), "covers")
+        covers = found.where("size(spans) > 0").select(*BLOCK, "spans")
+        if segments.where("hot").isEmpty():
+            return covers
+        across = self.across(segments.where("hot").join(found.where("size(open) > 0").select(*BLOCK, "open"), BLOCK))
+        return covers.unionByName(across).groupBy(*BLOCK).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # two lists of a block at most
+
+    def across(self, segments: DataFrame) -> DataFrame:
+        """The spans of windows with an equal (earlier) one in another bucket of their anchor; ``open``: the
+        windows (offsets) without an equal one before them in their own."""
         min_len = self.min_len
 
         def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                view, at, seg, o = windows_of(batch, min_len)
-                rows = view[at]
-                with np.errstate(over="ignore"):
-                    up, _ = T.powers(min_len)
-                    f = T.mix((T.BYTE[rows] * up[:min_len]).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                    g = T.mix((T.mix(T.BYTE[rows]) * up[:min_len]).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                pick = pa.array(seg)
-                yield pa.RecordBatch.from_arrays([*(batch[c].take(pick) for c in ("a", "b", "doc_id", "h", "pos")), pa.array(o.astype(np.int32)), pa.array(f), pa.array(g)], ["a", "b", "doc_id", "h", "pos", "o", "f", "g"])
-
-        rows = segments.mapInArrow(suffixes, "a long, b long, doc_id long, h long, pos int, o int, f long, g long")
+            for whole in batches:
+                for i in range(0, whole.num_rows, 512):
+                    batch = whole.slice(i, 512)
+                    data, offs = T.buffers(batch["bytes"])
+                    n = batch["open"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                    seg, o = np.repeat(np.arange(len(n)), n), batch["open"].flatten().to_numpy().astype(np.int64)
+                    at = offs[seg] + batch["off"].to_numpy().astype(np.int64)[seg] + o
+                    keys = []
+                    with np.errstate(over="ignore"):
+                        up, down = T.powers(len(data) + 1)
+                        for table in (T.BYTE, BYTE_2):
+                            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)])
+                            keys.append(pa.array(T.mix((total[at + min_len] - total[at]) * down[at]).view(np.int64)))
+                    pick = pa.array(seg)
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(pick) for c in (*BLOCK, "doc_id", "h", "pos")), pa.array(o.astype(np.int32)), *keys], [*BLOCK, "doc_id", "h", "pos", "o", "f", "g"])
+
+        rows = settle(segments.mapInArrow(suffixes, "a long, b long, b2 long, doc_id long, h long, pos int, o int, f long, g long"), "windows")
         place = F.struct("doc_id", "h", "pos")
         same = rows.groupBy("a", "o", "f", "g").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
-        hits = rows.join(same, ["a", "o", "f", "g"])
+        hits = rows.join(same, ["a", "o", "f", "g"])  # a window comes once from each bucket at most
         if self.keep_first:
             hits = hits.where(place != F.col("least"))
-        return hits.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(F.col("o").alias("s"), (F.col("o") + min_len).alias("e")))).alias("spans"))  # at most one for each window of a block
+        return hits.groupBy(*BLOCK).agg(F.collect_list(F.struct(F.col("o").alias("s"), (F.col("o") + min_len).alias("e"))).alias("spans"))  # at most one for each window of a block
 
     def spans(self) -> DataFrame:
         """of, of_h and the (unmerged) spans of each text that loses bytes."""
         found = self.occurrences()
-        blocks = settle(found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first")), "blocks")
+        blocks = settle(found.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first")), "blocks")
         covers = self.covers(self.segments(blocks))
         # written down, so both sides of the next join are shuffled for it and a hot block's rows can be split
-        known = settle(blocks.join(covers, ["a", "b"], "left").where("n > 1 OR spans IS NOT NULL"), "known")
+        known = settle(blocks.join(covers, BLOCK, "left").where("n > 1 OR spans IS NOT NULL"), "known")
         whole = F.array(F.struct(F.lit(GRAM - self.min_len).alias("s"), F.lit(self.min_len).alias("e")))
         copy = (F.struct("doc_id", "h", "pos") != F.col("first")) if self.keep_first else F.col("n") > 1
-        rows = found.join(known, ["a", "b"]).withColumn("spans", F.when(copy, whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
+        rows = found.join(known, BLOCK).withColumn("spans", F.when(copy, whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
         moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("pos")).alias("s"), (x["e"] + F.col("pos")).alias("e")))
         rows = rows.select("doc_id", "h", moved.alias("spans"))
-        return rows.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.flatten(F.collect_list("spans")).alias("cuts"))  # at most the windows of one text
+        return rows.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.flatten(F.collect_set("spans")).alias("cuts"))  # at most the windows of one text, however often its row stands
 
 
 def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -291,7 +314,7 @@ def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, np.ndar
 
 
 def bucket(min_len: int, keep_first: bool):
-    """Suffix order and LPF over whole groups of segments that share an anchor, some groups at a time."""
+    """Suffix order and LPF over whole buckets of segments that share an anchor, some buckets at a time."""
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
         view, start, seg, o = windows_of(batch, min_len)
@@ -300,34 +323,43 @@ def bucket(min_len: int, keep_first: bool):
         else:
             by_offset = np.argsort(o, kind="stable")
             parts = np.split(by_offset, np.flatnonzero(np.diff(o[by_offset])) + 1)
-        hits = []
+        before, hits = [], []
         for part in parts:
-            # segments stand in order of anchor, then first place in the texts: so does each suffix within its group
+            # segments stand in order of bucket, then first place in the texts: so does each suffix within its group
             order, lcp = suffix_order(view[start[part]], part)
             pos = part[order]
             hit = longest_previous_factors(pos, lcp) >= min_len
+            before.append(pos[hit])
             if not keep_first:
                 hit |= longest_previous_factors(-pos, lcp) >= min_len
             hits.append(pos[hit])
-        at = np.sort(np.concatenate(hits))
-        who = seg[at]
-        cuts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.empty(0, np.int64)
-        spans = [merged(x, x + min_len) for x in np.split(o[at], cuts[1:])] if len(who) else []
-        pick = pa.array(who[cuts])
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        return pa.RecordBatch.from_arrays([batch["a"].take(pick), batch["b"].take(pick), pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], kind)], ["a", "b", "spans"])
+        hot = np.flatnonzero(batch["hot"].to_numpy(zero_copy_only=False)[seg])
+        open_ = np.setdiff1d(hot, np.concatenate(before)) if len(hot) else hot
+        spans, offsets = (np.split(x, np.searchsorted(seg[x], np.arange(1, batch.num_rows))) for x in (np.sort(np.concatenate(hits)), open_))
+        kinds = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.int32())
+        spans = pa.array([[{"s": s, "e": e} for s, e in merged(o[x], o[x] + min_len)] for x in spans], kinds[0])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in BLOCK), spans, pa.array([o[x] for x in offsets], kinds[1])], [*BLOCK, "spans", "open"])
+
+    def solved(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole buckets: each of a hot anchor by itself, as buckets of one anchor don't stand in the order of places."""
+        hot = rows["hot"].to_numpy(zero_copy_only=False)[starts]
+        cuts = starts[np.flatnonzero(hot | np.concatenate([[True], hot[:-1]]))]
+        for i, j in zip(cuts, np.append(cuts[1:], rows.num_rows)):
+            yield solve(rows.slice(i, j - i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for batch in batches:
             rows = batch if held is None else pa.concat_batches([held, batch])
-            a = rows["a"].to_numpy()
-            last = int(np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))[-1])
-            if last:
-                yield solve(rows.slice(0, last))
-            held = rows.slice(last)
+            if not rows.num_rows:
+                continue
+            a, salt = rows["a"].to_numpy(), rows["salt"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (salt[1:] != salt[:-1])]))
+            if len(starts) > 1:
+                yield from solved(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
         if held is not None and held.num_rows:
-            yield solve(held)
+            yield from solved(held, np.zeros(1, np.int64))
 
     return run
 
@@ -355,7 +387,7 @@ def with_cuts(documents: DataFrame, min_len: int, keep_first: bool) -> tuple[Dat
     spans = Repeats(documents, min_len, keep_first).spans().select(F.col("of").alias(of), F.col("of_h").alias(of_h), F.col("cuts").alias(name))
     rows = documents.withColumn(h, F.xxhash64(F.col("text").cast("string")))
     rows = rows.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(h) == F.col(of_h)), "left")
-    small_batches(documents.sparkSession)
+    byte_batches(documents.sparkSession)
     return rows.select(*documents.columns, name), name
 
 
