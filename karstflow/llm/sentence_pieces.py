@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-A model file is compiled once into a transducer over characters: the normaliser (a blank before the
-text, blanks as the word mark), a trie of the pieces whose accepting states output a piece at the
-cost of its negative score, and a fallback that turns a character no piece knows into its UTF-8
-bytes. Composing it with an input gives the lattice of that input; the encoding is its shortest
-path in the tropical semiring (costs add along a path, the least one wins).
-
-For a unigram model that is the model's own best segmentation. A BPE model applies merges by rank,
+A model file is compiled once into a transducer over characters: the normaliser (the model's character
+map, which rewrites the longest match from the left, blanks squeezed if the model says so, a blank
+before the text, blanks as the word mark), a trie of the pieces whose accepting states output a piece
+at the cost of its negative score, and a fallback that turns a character no piece knows into its UTF-8
+bytes (an unknown piece for a run of them in models without bytes). The normaliser has one output for
+an input, so composing it is a pass over the text; composing the rest gives the lattice of that
+output, and the encoding is its shortest path in the tropical semiring (costs add along a path, the
+least one wins).
+
+For a unigram model that is the model's own best segmentation (costs are added in 32 bits, as the
+model's scores are; a character without a piece of its own costs 10 more than the worst piece). A BPE model applies merges by rank,
 which costs alone don't express; its transducer therefore also remembers the last piece and has no
 arc from piece a to piece b if merging the text of a and b would cross their border. A sequence of
 pieces is what BPE gives exactly if each neighbouring pair is (a merge that crosses no border of two
@@ -17,13 +21,15 @@ over words sorted by length. No piece has a word mark after another character, s
 before each run of marks; that is checked when a model is compiled. Encoding is one scan: no shuffle.
 
 Cases: a null or empty text has no pieces and decodes to an empty text; a word mark in a text reads
-as a blank; very long runs without blanks are walked with the same tables character by character;
+as a blank, so such a text does not decode to itself and ``round_trip`` says so (as for whatever a
+character map rewrites); very long runs without blanks are walked with the same tables character by character;
 repeated rows are each encoded; an empty table gives no rows; extra columns pass through in
 ``with_pieces`` (a column of a result's name gets an underscore added).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fresh, small_batches
+from .common import byte_batches, fresh
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -89,6 +95,58 @@ def merged(word: str, rank: dict[str, int]) -> list[tuple[str, str]]:
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
+class Normaliser:
+    """A model's character map as a transducer: at each position the longest key gives way to its value."""
+
+    def __init__(self, charsmap: bytes, squeeze: bool):
+        self.squeeze, self.single, self.longer = squeeze, {}, {}
+        for key, value in self.entries(charsmap):
+            if len(key) == 1:
+                self.single[ord(key)] = value
+            else:
+                self.longer[key] = value
+        self.longest = max(map(len, self.longer), default=0)
+        self.inner = re.compile("[" + "".join(map(re.escape, sorted({k[1] for k in self.longer}))) + "]") if self.longer else None
+
+    @staticmethod
+    def entries(charsmap: bytes) -> Iterator[tuple[str, str]]:
+        """The (key, value) pairs of a compiled map: a double-array trie over UTF-8 bytes, whose leaves point to zero-ended values."""
+        if not charsmap:
+            return
+        size = int.from_bytes(charsmap[:4], "little")
+        units, values = np.frombuffer(charsmap[4 : 4 + size], "<u4").astype(np.int64), charsmap[4 + size :]
+        jump = lambda u: (u >> 10) << ((u & 512) >> 6)
+        labels, level = np.arange(1, 256), [(b"", int(jump(units[0])))]
+        while level:
+            at = np.array([a for _, a in level])[:, None] ^ labels
+            unit = units[np.minimum(at, len(units) - 1)]
+            row, col = np.nonzero((at < len(units)) & ((unit & 0x800000FF) == labels))
+            below = []
+            for r, c, i, u in zip(row, col, at[row, col], unit[row, col]):
+                key, inner = level[r][0] + bytes([labels[c]]), int(i ^ jump(u))
+                if u & 256:
+                    start = int(units[inner] & 0x7FFFFFFF)
+                    yield key.decode(), values[start : values.index(b"\0", start)].decode()
+                below.append((key, inner))
+            level = below
+
+    def __call__(self, text: str) -> str:
+        if self.inner is not None and not text.isascii() and self.inner.search(text):
+            out, i = [], 0
+            while i < len(text):
+                for n in range(min(self.longest, len(text) - i), 1, -1):
+                    if (value := self.longer.get(text[i : i + n])) is not None:
+                        break
+                else:
+                    n, value = 1, self.single.get(ord(text[i]), text[i])
+                out.append(value)
+                i += n
+            text = "".join(out)
+        else:
+            text = text.translate(self.single)
+        return re.sub(" +", " ", text).lstrip(" ").rstrip(" " + MARK) if self.squeeze else text
+
+
 class Transducer:
     """A compiled model. Pieces are numbered by rank inside: single characters first, then by score."""
 
@@ -99,11 +157,13 @@ class Transducer:
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models with an identity normaliser are compiled")
+        if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only models that mark the blank before a word are compiled")
         if model.trainer_spec.model_type not in (1, 2):
             raise ValueError("only unigram and BPE models are compiled")
         self.prefix, self.bpe = spec.add_dummy_prefix, model.trainer_spec.model_type == 2
+        plain = not (spec.precompiled_charsmap or spec.remove_extra_whitespaces)
+        self.normaliser = None if plain else Normaliser(spec.precompiled_charsmap, spec.remove_extra_whitespaces)
         kinds = {1: [], 4: []}
         self.byte_ids, self.unknown, self.n_ids = np.full(256, -1, np.int32), 0, len(model.pieces)
         for i, p in enumerate(model.pieces):
@@ -132,8 +192,14 @@ class Transducer:
     def _compile(self, pieces: list[tuple[str, float, int]]) -> None:
         rank = {p: r for r, (p, _, _) in enumerate(pieces)}
         multi = {p: r for p, r in rank.items() if len(p) > 1}
+        if not self.bpe:  # characters that only stand in longer pieces: an unknown piece each
+            dear = min((s for _, s, _ in pieces), default=0.0) - 10.0
+            for c in sorted({c for p in rank for c in p if c not in rank}):
+                rank[c] = len(pieces)
+                pieces.append((c, dear, -1))
         n = len(pieces)
-        self.ids, self.costs = np.array([i for _, _, i in pieces], np.int32), np.array([-s for _, s, _ in pieces])
+        self.ids, self.costs = np.array([i for _, _, i in pieces], np.int32), np.array([-s for _, s, _ in pieces], np.float64 if self.bpe else np.float32)
+        self.length = np.array([len(p) for p, _, _ in pieces], np.int64)
         self.left, self.right = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)
         reached = np.ones(n, bool)
         if self.bpe:
@@ -219,7 +285,7 @@ class Transducer:
     def shortest(self, chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, word) in order for words of one length group: ``chars`` is (position, word), longest words first."""
         top, n = chars.shape
-        cost = np.full((top + 1, n), np.inf)
+        cost = np.full((top + 1, n), np.inf, self.costs.dtype)
         last, back = np.full((top + 1, n), NONE), np.zeros((top + 1, n), np.int16)
         cost[0] = 0
         for s in range(top):
@@ -255,7 +321,7 @@ class Transducer:
     def walk_long(self, chars: np.ndarray) -> np.ndarray:
         """The same for one very long word, position by position."""
         n = len(chars)
-        cost, last, back = np.full(n + 1, np.inf), np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+        cost, last, back = np.full(n + 1, np.inf, self.costs.dtype), np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
         cost[0] = 0
         for s in range(n):
             state, e, found, ends = self.root[chars[s]], s + 1, [], []
@@ -291,16 +357,22 @@ class Transducer:
         n_long = int(np.searchsorted(-length, -LONG, "left"))
         for s, n in zip(starts[:n_long], length[:n_long]):
             found = self.walk_long(chars[s : s + n])
-            ids.append(self.ids[found]), place.append(np.full(len(found), s))
+            ids.append(self.ids[found]), place.append(s + np.cumsum(self.length[found]) - self.length[found])
         i = n_long
         while i < len(starts):
             j = min(len(starts), i + max(1024, GROUP * 8 // int(length[i])))
             s, n = starts[i:j], length[i:j]
             grid = chars[np.minimum(s + np.arange(int(n[0]))[:, None], len(chars) - 1)]
             found, word = self.shortest(grid, n)
-            ids.append(self.ids[found]), place.append(s[word])
+            at = np.cumsum(self.length[found]) - self.length[found]
+            first = np.concatenate([[True], word[1:] != word[:-1]])
+            ids.append(self.ids[found]), place.append(s[word] + at - np.maximum.accumulate(np.where(first, at, 0)))
             i = j
         odd = np.flatnonzero(~known)
+        if not self.bpe and ids:
+            ids, place = [np.concatenate(ids)], [np.concatenate(place)]
+            odd = np.concatenate([odd, place[0][ids[0] < 0]])
+            ids, place = [ids[0][ids[0] >= 0]], [place[0][ids[0] >= 0]]
         if len(odd):
             raw = [chr(c).encode("utf-8", "surrogatepass") for c in points[odd]]
             size = np.array([len(x) for x in raw])
@@ -310,7 +382,13 @@ class Transducer:
             return np.empty(0, np.int32), np.zeros(len(offs), np.int64)
         ids, place = np.concatenate(ids), np.concatenate(place)
         order = np.argsort(place, kind="stable")
-        return ids[order].astype(np.int32), np.searchsorted(place[order], offs)
+        ids, place = ids[order].astype(np.int32), place[order]
+        if (self.byte_ids < 0).any():  # a run of unknown characters of a word is one piece
+            word = np.searchsorted(offs, place, "right")
+            again = np.zeros(len(ids), bool)
+            again[1:] = (ids[1:] == self.unknown) & (ids[:-1] == self.unknown) & (word[1:] == word[:-1])
+            ids, place = ids[~again], place[~again]
+        return ids, np.searchsorted(place, offs)
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of whole texts given by UTF-8 bytes and offsets, in which word marks are blanks already."""
@@ -344,7 +422,7 @@ class Transducer:
         n = self.text_offs[ids + 1] - self.text_offs[ids]
         data = self.text_bytes[ragged(self.text_offs[ids], n)]
         offs = np.concatenate([[0], np.cumsum(n)])[offs]
-        if self.prefix:
+        if self.prefix or (self.normaliser is not None and self.normaliser.squeeze):
             first = offs[:-1][(np.diff(offs) > 0)]
             first = first[data[first] == 0x20]
             data = np.delete(data, first)
@@ -376,9 +454,12 @@ def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
-def without_marks(column: pa.Array) -> pa.Array:
+def without_marks(column: pa.Array, normaliser: Normaliser | None = None) -> pa.Array:
+    """Normalised texts, with their word marks as blanks."""
     import pyarrow.compute as pc
 
+    if normaliser is not None:
+        column = pa.array([None if t is None else normaliser(t) for t in column.to_pylist()], pa.large_string())
     return pc.replace_substring(column, MARK, " ")
 
 
@@ -398,19 +479,20 @@ def transducer(path: str | None = None) -> Transducer:
 
 def with_pieces(documents: DataFrame, path: str | None = None) -> tuple[DataFrame, str, str]:
     """``documents`` with the ids of each text and whether decoding them gives the text again; the columns' names."""
-    small_batches(documents.sparkSession, 2000)
+    byte_batches(documents.sparkSession)
     model = transducer(path)
     ids, whole = fresh(documents, "piece_ids"), fresh(documents, "round_trip")
     out = documents.withColumns({ids: F.lit(None).cast("array<int>"), whole: F.lit(False)})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = T.buffers(without_marks(batch["text"]))
+            data, offs = T.buffers(without_marks(batch["text"], model.normaliser))
+            raw, at_raw = T.buffers(batch["text"])
             for i, j in T.spans(offs):
                 d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 found, cuts = model.encode(d, o)
                 again, back = model.decode(found, cuts)
-                same = np.array([len(again[a:b]) == f - e and np.array_equal(again[a:b], d[e:f]) for a, b, e, f in zip(back[:-1], back[1:], o[:-1], o[1:])], bool)
+                same = np.array([b - a == f - e and np.array_equal(again[a:b], raw[e:f]) for a, b, e, f in zip(back[:-1], back[1:], at_raw[i:j], at_raw[i + 1 : j + 1])], bool)
                 part = batch.slice(i, j - i)
                 at, to = (part.schema.get_field_index(c) for c in (ids, whole))
                 lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(found, pa.int32()))
