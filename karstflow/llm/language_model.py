@@ -7,12 +7,15 @@ is deleted from the counts, and the mixture is fitted to the held-out bigrams un
 Final scores use all training counts.
 
 Counting and lookup work on packed keys. Documents are dealt into blocks of some MB by a hash; a
-block sends each of its distinct words (64-bit hashes) and bigrams (48-bit) once, with its count, to
-the key's bucket, as sorted differences. A bucket sums the counts of all blocks and answers each
-block's keys in their order. So what is shuffled is at most one key for each block and word,
-a frequent word is no hot key, and no count leaves the cluster: the driver sees N, V and a
-histogram of bounded size. The blocks are read twice more: the held-out ones for the histogram of
-estimates that expectation-maximisation runs on, and all of them for the scores.
+block sends each of its distinct words and bigrams (64-bit hashes) once, with its count, to the key's
+bucket, as sorted differences. A bucket sums the counts of all blocks and answers each block's keys in
+their order. So what is shuffled is at most one key for each block and word, a frequent word is no hot
+key, and no count leaves the cluster: the driver sees N, V and a histogram of bounded size. A block
+sends to at most 2^``FAN`` buckets; more buckets than that are reached in levels: a group of blocks sums
+its messages for one range of keys first and passes them on, split by the next bits, and the answers
+return the same way. So the messages grow with the blocks and not with blocks times buckets. The
+blocks are read twice more: the held-out ones for the histogram of estimates that
+expectation-maximisation runs on, and all of them for the scores.
 
 Cases: a null or empty text is one end token; rows that repeat an id are all scored and all counted;
 a null id belongs to no fold: it is learned from and not held out; with no training rows N and V are
@@ -30,32 +33,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fold, settle, small_batches
+from .common import byte_batches, fold, settle
 
 #: Text bytes of a block, and of all texts for each bucket of keys.
 BLOCK_BYTES, BUCKET_BYTES = 12 << 20, 16 << 20
+#: Bits of a key that one level of messages is split by, at most.
+FAN = 10
 #: Context buckets (0: unseen), and the histogram's grid: steps of 1 / GRID in log10 of a ratio to the uniform estimate.
 CONTEXTS, GRID, STEPS = 24, 20, 60
 KEEP, HELD, TEST = 0, 1, 2
 END, BEGIN = T.seeds(2, 6)
-LOW48 = np.uint64((1 << 48) - 1)
 
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of 64-bit values, plane by plane, compressed."""
-    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T
+def pack(values: np.ndarray) -> bytes:
+    """64-bit values, plane by plane of their bytes, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T
     return len(values).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unpack(blob: bytes, width: int) -> np.ndarray:
+def unpack(blob: bytes) -> np.ndarray:
     n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=max(1, n * width)), np.uint8).reshape(width, n)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:], max_output_size=max(1, n * 8)), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-WIDTH = (8, 6)  # bytes of a word's key, of a bigram's
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys, as differences."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
 class Block:
@@ -85,7 +93,7 @@ class Block:
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
         before[self.first] = BEGIN
         with np.errstate(over="ignore"):
-            return tokens, T.mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) & LOW48
+            return tokens, T.mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -97,20 +105,43 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
             yield int(numbers[a]), batch.slice(a, b - a)
 
 
-def asker(bits: int):
+MESSAGE = "child int, bucket int, kind int, keys binary, kept binary, held binary"
+STATS = ["v_kept", "n_kept", "v", "n"]
+ANSWER = "child int, bucket int, kind int, kept binary, held binary, " + ", ".join(f"{c} long" for c in STATS)
+
+
+def message_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 3
+    columns = list(zip(*rows)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["child", "bucket", "kind", "keys", "kept", "held"])
+
+
+def answer_batch(rows: list[tuple], stats: list[int] | None = None) -> pa.RecordBatch:
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2
+    rows = rows if stats is None else [*rows, (-1, 0, 0, None, None)]
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    zeros = [0] * (len(rows) - (stats is not None))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), *(pa.array(zeros + ([] if stats is None else [x]), pa.int64()) for x in stats or [0] * 4)], ["child", "bucket", "kind", "kept", "held", *STATS])
+
+
+def split(child: int, kind: int, keys: np.ndarray, kept: np.ndarray, held: np.ndarray, bits: int) -> list[tuple]:
+    """Messages for ascending keys, one for each run of equal top ``bits`` bits."""
+    top = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1], [True]])) if len(keys) else []
+    return [(child, int(top[i]), kind, pack_keys(keys[i:j]), pack(kept[i:j]), pack(held[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def asker(bits: int, n_blocks: int):
     """Sends each block's distinct keys, with counts, to the keys' buckets (their top ``bits`` bits)."""
 
     def send(block: Block) -> pa.RecordBatch:
-        buckets, kinds, keys_, counts_ = [], [], [], []
+        rows = []
         for kind, keys in enumerate(block.keys()):
             found, n = np.unique(keys, return_counts=True)
-            top = (found >> np.uint64(8 * WIDTH[kind] - bits)).astype(np.int64)
-            cuts = np.searchsorted(top, np.arange((1 << bits) + 1))
-            for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-                mine = found[cuts[k] : cuts[k + 1]]
-                buckets.append(int(k)), kinds.append(kind), counts_.append(pack(n[cuts[k] : cuts[k + 1]], 4))
-                keys_.append(pack(np.diff(mine, prepend=np.uint64(0)), WIDTH[kind]))
-        return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(kinds, pa.int32()), pa.array([block.number] * len(kinds), pa.int32()), pa.array(keys_, pa.binary()), pa.array(counts_, pa.binary())], ["bucket", "kind", "block", "keys", "counts"])
+            none = np.zeros(len(n), np.int64)
+            part = block.number // n_blocks
+            rows += split(block.number, kind, found, n if part == KEEP else none, n if part == HELD else none, bits)
+        return message_batch(rows)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
@@ -126,41 +157,94 @@ def asker(bits: int):
     return ask
 
 
-def answerer(n_blocks: int):
-    """Sums a bucket's counts over all blocks; answers each block's keys with (kept, held-out) counts."""
-
-    def answer(kind: int, bucket: int, rows: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        # a block's keys may come from one task only, so each row is one block's
-        keys = [np.cumsum(unpack(k, WIDTH[kind]), dtype=np.uint64) for _, k, _ in rows]
-        cuts = np.cumsum([0, *map(len, keys)])
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = [np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)]
-        for (block, _, counts), a, b in zip(rows, cuts[:-1], cuts[1:]):
-            if (part := block // n_blocks) != TEST:
-                totals[part][at[a:b]] += unpack(counts, 4).astype(np.int64)  # a block has a key once
-        kept, held = totals
-        words = [int(x) for x in (np.count_nonzero(kept), kept.sum(), np.count_nonzero(kept + held), (kept + held).sum())] if kind == 0 else [0] * 4
-        blobs = [pack(kept[at[a:b]].astype(np.uint64) | held[at[a:b]].astype(np.uint64) << np.uint64(32), 8) for a, b in zip(cuts[:-1], cuts[1:])]
-        n = len(rows)
-        columns = [pa.array([r[0] for r in rows] + [-1], pa.int32()), pa.array([kind] * (n + 1), pa.int32()), pa.array([bucket] * (n + 1), pa.int32()), pa.array(blobs + [None], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*columns, *(pa.array([0] * n + [x], pa.int64()) for x in words)], ["block", "kind", "bucket", "answer", "v_kept", "n_kept", "v", "n"])
+class Sums:
+    """The keys of messages for one bucket, and their counts over all of them."""
+
+    def __init__(self, messages: list[tuple]):
+        keys = [unpack_keys(m[3]) for m in messages]
+        self.cuts = np.cumsum([0, *map(len, keys)])
+        self.keys, self.at = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True)
+        self.kept, self.held = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        for m, a, b in zip(messages, self.cuts[:-1], self.cuts[1:]):
+            self.kept[self.at[a:b]] += unpack(m[4]).astype(np.int64)  # a message has a key once
+            self.held[self.at[a:b]] += unpack(m[5]).astype(np.int64)
+
+    def answers(self, messages: list[tuple], kept: np.ndarray, held: np.ndarray) -> list[tuple]:
+        """The given counts of all keys, as each message asks for them."""
+        return [(*m[:3], pack(kept[self.at[a:b]]), pack(held[self.at[a:b]])) for m, a, b in zip(messages, self.cuts[:-1], self.cuts[1:])]
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(place, kind, rows) of rows sorted by place and kind; place is the first column."""
+    now, rows = None, []
+    for batch in batches:
+        for place, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (place, row[2]):
+                if rows:
+                    yield (*now, rows)
+                now, rows = (place, row[2]), []
+            rows.append(tuple(row))
+    if rows:
+        yield (*now, rows)
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums a bucket's counts over all blocks and answers each message; the words' buckets report sizes, too."""
+    for _, kind, rows in grouped(batches):
+        sums = Sums(rows)
+        kept, both = sums.kept, sums.kept + sums.held
+        stats = [int(x) for x in (np.count_nonzero(kept), kept.sum(), np.count_nonzero(both), both.sum())] if kind == 0 else [0] * 4
+        yield answer_batch(sums.answers(rows, sums.kept, sums.held), stats)
+
+
+def pass_on(groups: int, bits: int):
+    """Sums the messages of one group of blocks for one range of keys and splits them by more bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("bucket", "kind", "block", "keys", "counts")]
-            for bucket, kind, *row in zip(*cols):
-                if now != (bucket, kind):
-                    if rows:
-                        yield from answer(now[1], now[0], rows)
-                    now, rows = (bucket, kind), []
-                rows.append(tuple(row))
-        if rows:
-            yield from answer(now[1], now[0], rows)
+        for place, kind, rows in grouped(batches):
+            sums = Sums(rows)
+            yield message_batch(split(place % groups, kind, sums.keys, sums.kept, sums.held, bits))
 
     return run
 
 
+def hand_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers the messages of one group of blocks from the answers to the group's own messages."""
+    for _, _, rows in grouped(batches):
+        asked, got = [r for r in rows if r[3] is not None], sorted((r for r in rows if r[3] is None), key=lambda r: r[1])
+        sums = Sums(asked)
+        kept, held = (np.concatenate([unpack(r[c]) for r in got]) for c in (4, 5))
+        if len(kept) != len(sums.keys):
+            raise RuntimeError(f"asked for {len(sums.keys)} keys and got {len(kept)}: the messages changed between two reads")
+        yield answer_batch(sums.answers(asked, kept, held))
+
+
+def counted(messages: DataFrame, n_children: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(answers to the messages of ``n_children`` blocks, the sizes' parts) over 2^bits buckets, in as many levels as FAN asks for."""
+    levels = -(-bits // FAN)
+    step = -(-bits // levels)
+    bits = step * levels
+    dealt = lambda df, groups, shift=0: df.withColumn("place", (F.shiftright("bucket", shift) * groups + F.col("group")).cast("int"))
+    columns = ["child", "bucket", "kind", "keys", "kept", "held"]
+    sent, spans = [], []
+    for level in range(1, levels):
+        groups = 1 << (bits - step * level)
+        span = -(-n_children // groups)
+        messages = settle(dealt(messages.withColumn("group", F.floor(F.col("child") / span).cast("int")), groups), "messages")
+        sent.append(messages), spans.append(groups)
+        rows = messages.select("place", *columns).repartitionById(1 << bits, F.col("place")).sortWithinPartitions("place", "kind", "child")
+        messages, n_children = rows.mapInArrow(pass_on(groups, step * (level + 1)), MESSAGE), groups
+    rows = messages.select(F.col("bucket").alias("place"), *columns).repartitionById(1 << bits, F.col("place")).sortWithinPartitions("place", "kind", "child")
+    answers = settle(rows.mapInArrow(answer, ANSWER), "answers")
+    sizes = answers.where("child < 0")
+    answers = answers.where("child >= 0")
+    for messages, groups in zip(sent[::-1], spans[::-1]):
+        known = dealt(answers.withColumn("group", F.col("child")), groups, step).withColumn("keys", F.lit(None).cast("binary"))
+        rows = messages.select("place", *columns).unionByName(known.select("place", *columns)).repartitionById(1 << bits, F.col("place")).sortWithinPartitions("place", "kind", "child", "bucket")
+        answers = settle(rows.mapInArrow(hand_back, ANSWER), "answers")
+    return answers, sizes
+
+
 class Sizes:
     """N and V of all training rows and of those kept when the held-out fold is deleted."""
 
@@ -168,16 +252,15 @@ class Sizes:
         self.v_kept, self.n_kept, self.v, self.n = v_kept, n_kept, v, n
 
 
-def estimates(block: Block, answers: list[list[bytes]], kept_only: bool, n: int, v: int):
+def estimates(block: Block, answers: list[list[tuple[bytes, bytes]]], kept_only: bool, n: int, v: int):
     """Of each token: its count, the context's bucket and the three estimates."""
     counts = []
     for keys, blobs in zip(block.keys(), answers):
         found, at = np.unique(keys, return_inverse=True)
-        packed = np.concatenate([unpack(b, 8) for b in blobs]) if blobs else np.empty(0, np.uint64)
-        if len(packed) != len(found):
-            raise RuntimeError(f"block {block.number} asked for {len(packed)} keys and now has {len(found)}: its rows changed between two reads")
-        c = (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        counts.append((c if kept_only else c + (packed >> np.uint64(32)).astype(np.int64))[at])
+        kept, held = (np.concatenate([unpack(b[i]) for b in blobs]).astype(np.int64) if blobs else np.empty(0, np.int64) for i in (0, 1))
+        if len(kept) != len(found):
+            raise RuntimeError(f"block {block.number} asked for {len(kept)} keys and now has {len(found)}: its rows changed between two reads")
+        counts.append((kept if kept_only else kept + held)[at])
     word, pair = counts
     context = np.empty_like(word)
     context[1:] = word[:-1]
@@ -187,7 +270,7 @@ def estimates(block: Block, answers: list[list[bytes]], kept_only: bool, n: int,
     return word, bucket, pair / np.maximum(context, 1), word / max(n, 1), 1.0 / (v + 1)
 
 
-def with_answers(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ()) -> Iterator[tuple[Block, list[list[bytes]]]]:
+def with_answers(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ()) -> Iterator[tuple[Block, list[list[tuple[bytes, bytes]]]]]:
     """Each block with its answers, which come before its documents."""
     block, answers = None, None
     for number, rows in blocks_of(batches):
@@ -197,8 +280,8 @@ def with_answers(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...] = ())
             block, answers = Block(number), [[], []]
         is_doc = rows["is_doc"].to_numpy(zero_copy_only=False)
         n = int(np.count_nonzero(~is_doc))
-        for kind, blob in zip(rows["kind"].slice(0, n).to_pylist(), rows["answer"].slice(0, n).to_pylist()):
-            answers[kind].append(blob)
+        for kind, *counts in zip(*(rows[c].slice(0, n).to_pylist() for c in ("kind", "kept", "held"))):
+            answers[kind].append(tuple(counts))
         if n < len(is_doc):
             block.add(rows.slice(n), keep)
     if block is not None:
@@ -271,14 +354,12 @@ def score_texts(documents: DataFrame) -> DataFrame:
     bits = max(2, int(-(-size // BUCKET_BYTES)).bit_length())
     rows = rows.withColumn("block", (F.col("part") * n_blocks + F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).cast("int"))
     dealt = 3 * n_blocks  # each block is a partition of its own, so what a task reads stays the same at any size
-    small_batches(spark)
+    byte_batches(spark)
     asked = rows.select("block", "text").repartitionById(dealt, F.col("block"))
-    asked = asked.mapInArrow(asker(bits), "bucket int, kind int, block int, keys binary, counts binary")
-    asked = asked.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("kind", "block")
-    stats = "v_kept long, n_kept long, v long, n long"
-    answers = settle(asked.mapInArrow(answerer(n_blocks), f"block int, kind int, bucket int, answer binary, {stats}"), "answers")
-    sizes = Sizes(*(x or 0 for x in answers.where("block < 0").agg(*(F.sum(c) for c in ("v_kept", "n_kept", "v", "n"))).first()))
-    answers = answers.where("block >= 0").select("block", F.lit(False).alias("is_doc"), "kind", "bucket", "answer")
+    asked = asked.mapInArrow(asker(-(-bits // -(-bits // FAN)), n_blocks), MESSAGE)
+    answers, parts = counted(asked, dealt, bits)
+    sizes = Sizes(*(x or 0 for x in parts.agg(*(F.sum(c) for c in STATS)).first()))
+    answers = answers.select(F.col("child").alias("block"), F.lit(False).alias("is_doc"), "kind", "bucket", "kept", "held")
 
     def met(docs: DataFrame, known: DataFrame) -> DataFrame:
         both = docs.select("block", F.lit(True).alias("is_doc"), "doc_id", "held_out", "text").unionByName(known, allowMissingColumns=True)
