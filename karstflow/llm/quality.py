@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fold, small_batches
+from .common import byte_batches, fold
 
 #: Labelled rows that the trees are fitted on, taken by a hash of the id. The only bound; scoring reads all rows.
 SAMPLE = 20_000
@@ -170,7 +170,7 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Tr
 
 def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    small_batches(documents.sparkSession)
+    byte_batches(documents.sparkSession)
     trees = train(documents, labels)
 
     def score(batches):

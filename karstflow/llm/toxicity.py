@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import fold, fresh, small_batches
+from .common import byte_batches, fold, fresh, settle
 
 #: Labelled rows that the models are fitted on, taken by a hash of the id. The only bound; scoring reads all rows.
 SAMPLE = 10_000
@@ -123,7 +123,7 @@ class Chain:
 
 def train(documents: DataFrame, labels: DataFrame, categories: dict[str, object]) -> Chain:
     """Fit the chain; ``categories``: name -> 0/1 column of ``labels``. Rows of fold 0 of 5 are held out."""
-    small_batches(documents.sparkSession)
+    byte_batches(documents.sparkSession)
     names = list(categories)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("int").alias(k) for k, c in categories.items()))
     known = known.where(fold(F.col("doc_id")) != 0).where(" AND ".join(f"`{k}` IN (0, 1)" for k in names))
@@ -142,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, object]
 
     counts = sample.mapInArrow(tally, "place long, n long, pos array<long>")
     sums = counts.groupBy("place").agg(F.sum("n").alias("n"), *(F.sum(F.col("pos")[k]).alias(f"p{k}") for k in range(len(names))))
-    sums.persist()  # PLACES rows at most
+    sums = settle(sums, "sums")  # PLACES rows at most
     totals = known.agg(F.count("*"), *(F.sum(F.col("y")[k]) for k in range(len(names)))).first()
     places = set()
     for k in range(len(names)):
@@ -151,7 +151,6 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, object]
         spread = F.sqrt(1 / (F.col(f"p{k}") + 0.5) + 1 / (F.col("n") - F.col(f"p{k}") + 0.5))
         strong = sums.where(F.greatest(F.col(f"p{k}"), F.col("n") - F.col(f"p{k}")) >= LEAST).select("place", (F.abs(ratio) / spread).alias("z"), F.abs(ratio).alias("r"))
         places |= {r.place for r in strong.where("z >= 2.2 AND r >= 1.5").orderBy(F.desc("z"), "place").limit(KEPT).select("place").collect()}
-    sums.unpersist()
     places = np.array(sorted(places), np.int64)
     wanted = np.zeros(PLACES, bool)
     wanted[places] = True
@@ -189,7 +188,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, object]
 
 def with_scores(documents: DataFrame, chain: Chain) -> tuple[DataFrame, list[str]]:
     """``documents`` with one probability column for each category, and the columns' names."""
-    small_batches(documents.sparkSession)
+    byte_batches(documents.sparkSession)
     out, names = documents, []
     for c in chain.categories:
         names.append(fresh(out, f"p_{c}"))

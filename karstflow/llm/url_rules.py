@@ -4,8 +4,9 @@ Each url becomes a reversed-host key (``www.example.com`` -> ``com.example.www.`
 for a host and its subdomains is the key interval that starts with the rule's own key. Pages and
 rules are range-partitioned and sorted together once; a sweep over each partition keeps the stack
 of the nested rule intervals that hold the current key. A partition's opening stack are the rules
-whose key is a prefix of its first key: found by an equi-join on the first keys' label prefixes,
-at most (labels x partitions) rows whatever the number of rules.
+whose key is a prefix of its first key: an equi-join on the first keys' label prefixes (at most labels
+x partitions of them) finds them, and they are dealt to the partition as rows that come first. The
+driver sees one key for each partition and no rule; a task holds the rules of the open hosts.
 
 Cases: a null url or one without ``://`` has empty host and path and gets the default verdict
 unless a rule for the empty host exists; an empty table gives no rows; repeated rows are each
@@ -53,8 +54,9 @@ def label_prefixes(key: str) -> list[str]:
     return out
 
 
-def sweeper(opening: dict[int, list[tuple]], default: str):
-    """The sweep over sorted rows: rule rows (kind 0) open their interval, page rows (kind 1) ask the stack."""
+def sweeper(default: str):
+    """The sweep over sorted rows: rule rows (kind 0; those open before the partition's first key: -1) open
+    their interval, page rows (kind 1) ask the stack."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[list] = []  # [key, {path: (verdict, name)}, path lengths from the longest]
@@ -80,9 +82,7 @@ def sweeper(opening: dict[int, list[tuple]], default: str):
                 if at != part:
                     part = at
                     stack.clear()
-                    for rule in sorted(opening.get(at, [])):
-                        enter(*rule)
-                if kind == 0:
+                if kind <= 0:
                     enter(key, path, verdict, name)
                     continue
                 leave(key)
@@ -116,9 +116,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", parti
     frozen = settle(merged.withColumn("part", F.spark_partition_id()), "url_keys")
     firsts = frozen.groupBy("part").agg(F.min("key").alias("first")).collect()  # one row for each partition
     asked = spark.createDataFrame([(r.part, r.first, p) for r in firsts for p in label_prefixes(r.first)], "part int, first string, at string")
-    held = rules.join(F.broadcast(asked), rules.key == asked.at).select("part", "key", "path", "verdict", "rule").collect()  # bounded by `asked` and the paths of a host
-    opening: dict[int, list[tuple]] = {}
-    for r in held:
-        opening.setdefault(r.part, []).append((r.key, r.path, r.verdict, r.rule))
-    dealt = frozen.repartition(n, "part").sortWithinPartitions("part", "key", "kind", "page_id", "path")
-    return dealt.mapInArrow(sweeper(opening, default), "page_id long, host string, path string, rule string, verdict string")
+    opening = rules.join(F.broadcast(asked), rules.key == asked.at).select(*rules.columns, "part").withColumn("kind", F.lit(-1))  # `asked` is bounded
+    rows = frozen.unionByName(opening).repartition(n, "part").sortWithinPartitions("part", F.col("kind") >= 0, "key", "kind", "page_id", "path")
+    return rows.mapInArrow(sweeper(default), "page_id long, host string, path string, rule string, verdict string")
