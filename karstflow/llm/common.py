@@ -43,11 +43,6 @@ def byte_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts travel to Python in batches of few rows, so a batch stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 #: Rows up to which a side may be broadcast; the callers count first and join by shuffle beyond it.
 BROADCAST_ROWS = 200_000
 

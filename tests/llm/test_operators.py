@@ -108,6 +108,31 @@ def test_myers_against_brute_force():
         assert decontaminate.best_distance(item, window, 5) == min(6, least(item, window))
 
 
+def test_kernels_in_steps(monkeypatch):
+    """Texts longer than the kernels' chunks give the hashes, shingle sets and anchors of a run in one piece."""
+    rng = random.Random(16)
+    texts = [sentence(rng, n) for n in (700, 3, 900, 0, 400)] + ["é" * 3000, "word" * 2000 + " end"]
+    data, offs = text.buffers(pa.array(texts))
+    starts, ends = text.edges(data, offs)
+
+    def found():
+        out = [text.word_hashes(data, starts, ends), sentence_pieces.exact_hashes(data, starts, ends), *near_dedup.sets_of(data, offs)]
+        x = suffix_dedup.Anchors(data, offs, 200)
+        return [*out, x.at, x.hash, x.first, x.last, x.block, x.block_2, x.row, x.pos]
+
+    whole = found()
+    for chunk, step in ((512, 150), (100, 1000), (4096, 333)):
+        monkeypatch.setattr(text, "CHUNK", chunk)
+        monkeypatch.setattr(suffix_dedup, "STEP", step)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, found()))
+    monkeypatch.undo()
+    parts = [language_model.Block(0), language_model.Block(0)]
+    parts[0].add(pa.RecordBatch.from_pydict({"text": texts}))
+    for t in texts:
+        parts[1].add(pa.RecordBatch.from_pydict({"text": [t]}))
+    assert all(np.array_equal(a, b) for a, b in zip(*(p.keys() for p in parts)))
+
+
 # ---- op 1 ----
 
 
@@ -131,25 +156,94 @@ def test_sentence_pieces(spark, documents, empty, texts):
     assert sentence_pieces.encode_texts(empty).count() == 0
 
 
+def small_unigram(path, rule, fallback):
+    """A unigram model of our own: pieces of the public vocabulary with scores by a rule, one character only within longer pieces."""
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model, source = proto.ModelProto(), proto.ModelProto()
+    source.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    rng = random.Random(14)
+    for p in source.pieces:
+        if p.type == 1 and (p.piece in ("q", "é") or not rng.random() < 0.7 and len(p.piece) > 1):
+            continue
+        if p.type == 6 and not fallback:
+            continue
+        new = model.pieces.add()
+        new.piece, new.type, new.score = p.piece, p.type, -rng.uniform(2, 6) - 1.1 * len(p.piece) ** 0.5 if p.type == 1 else 0.0
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.unk_id = 1, fallback, 0
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.escape_whitespaces = True, True
+    model.normalizer_spec.remove_extra_whitespaces = rule is not None
+    if rule:
+        spec = proto.NormalizerSpec()
+        spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec())
+        model.normalizer_spec.precompiled_charsmap, model.normalizer_spec.name = spec.precompiled_charsmap, rule
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("rule,fallback", [(None, True), ("nmt_nfkc", True), ("nmt_nfkc_cf", False)])
+def test_unigram_models(spark, tmp_path, rule, fallback):
+    """The library's ids, where the shortest path has many to choose from and a character map rewrites the text."""
+    import sentencepiece
+
+    path = small_unigram(tmp_path / "own.model", rule, fallback)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(15)
+    cases = ["international questions, queue", "  Two   blanks ", "ﬁne ＡＢＣ ①② ｶﾞ か\u3099 e\u0301tude é", "tab\there\u3000wide", "", " ", None, "▁mark ▁", "😀😀 q", "don't stop", "x" * 300 + " end", "Straße İstanbul", "a\u200bb\u00adc"]
+    cases += [" ".join(rng.choice(["quality", "Encoding", "theory", "été", "naïve", "12345", "ｆｕｌｌ", "ﬂow", "unquestionable", "日本語"]) for _ in range(12)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").repartition(2)
+    rows = {r.doc_id: r for r in sentence_pieces.encode_texts(docs, path).collect()}
+    assert {i: list(r.piece_ids) for i, r in rows.items()} == {i: library.encode(t or "") for i, t in enumerate(cases)}
+    back = {r.doc_id: r.text for r in sentence_pieces.decode_texts(sentence_pieces.encode_texts(docs, path), path).collect()}
+    assert all(rows[i].round_trip == (back[i] == (t or "")) for i, t in enumerate(cases))
+    assert rows[7].round_trip is False and rows[9].round_trip is True
+
+
 # ---- op 2 ----
 
 
-def test_language_model(documents, empty):
+@pytest.mark.parametrize("fan", [10, 1])
+def test_language_model(documents, empty, monkeypatch, fan):
+    """Counts, base and interpolated scores by brute force; buckets reached at once and in levels."""
+    monkeypatch.setattr(language_model, "FAN", fan)
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 4096)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 4096)
+    learned, learn = [], language_model.learn_weights
+    monkeypatch.setattr(language_model, "learn_weights", lambda *x: learned.append(learn(*x)) or learned[-1])
     rows = language_model.score_texts(documents).collect()
     docs = documents.collect()
     assert Counter(r.doc_id for r in rows) == Counter(d.doc_id for d in docs)
     part = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 5
-    counts = Counter(w for d in docs if part(d.doc_id) != 1 for w in [*words(d.text), 0])
+    train = [[None, *words(d.text), 0] for d in docs if part(d.doc_id) != 1]
+    counts, pairs = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:]))
     n, v = sum(counts.values()), len(counts)
     want = Counter()
     for d in docs:
-        tokens = [*words(d.text), 0]
-        want[d.doc_id, part(d.doc_id) == 1, len(tokens), sum(counts[t] > 0 for t in tokens), n, round(sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens), 6)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in rows)
+        tokens = [None, *words(d.text), 0]
+        score = 0.0
+        for a, b in zip(tokens, tokens[1:]):
+            before = counts[0] if a is None else counts[a]
+            w = learned[0][min(before.bit_length(), language_model.CONTEXTS - 1)]
+            score += math.log10(w[0] * pairs[a, b] / max(before, 1) + w[1] * counts[b] / n + w[2] / (v + 1))
+        base = sum(math.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens[1:])
+        want[d.doc_id, part(d.doc_id) == 1, len(tokens) - 1, sum(counts[t] > 0 for t in tokens[1:]), n, round(base, 6), round(score, 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in rows) == want
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_large_counts_stay_apart():
+    """Kept and held counts of more than 32 bits don't run into each other."""
+    keys = np.array([5, 9, 1 << 63], np.uint64)
+    kept, held = np.array([1 << 33, 0, 7]), np.array([3, 1 << 34, 0])
+    rows = language_model.split(0, 0, keys, kept, held, 2) + language_model.split(1, 0, keys[:2], kept[:2], held[:2], 2)
+    sums = language_model.Sums([r for r in rows if r[1] == 0])
+    assert sums.kept.tolist() == [1 << 34, 0] and sums.held.tolist() == [6, 1 << 35]
+    got = sums.answers([r for r in rows if r[1] == 0], sums.kept, sums.held)
+    assert [language_model.unpack(x[3]).tolist() for x in got] == [[1 << 34, 0]] * 2
+
+
 def test_mixture_is_a_distribution():
     """EM's weights add up to 1, favour the estimate that explains the tokens, and give the unseen context no bigram."""
     cell = np.array([(0 << 32) | (1060 << 16) | 0, (3 << 32) | (1000 << 16) | 1080])
@@ -185,6 +279,53 @@ def test_toxicity(spark, labelled, documents, empty):
     assert toxicity.score_toxicity(empty, labels).count() == 0
 
 
+def test_chain_against_a_scalar_walk(labelled, texts):
+    """Each link's logistic model worked out feature by feature, with the earlier links' probabilities."""
+    docs, labels = labelled
+    chain = toxicity.train(docs, labels, toxicity.label_categories())
+    cases = [t for t in texts] + [r.text for r in docs.limit(40).collect()]
+    got = chain(pa.RecordBatch.from_pydict({"text": pa.array(cases)}))
+
+    def places(t):
+        out = set()
+        for w in words(t):
+            raw = w.encode()
+            for k, n in enumerate((0, *toxicity.BEGINNINGS)):
+                if not n or len(raw) > n:
+                    data = np.frombuffer(raw[:n] if n else raw, np.uint8)
+                    h = text.word_hashes(data, np.array([0]), np.array([len(data)]))
+                    with np.errstate(over="ignore"):
+                        out.add(int(text.mix(h + np.uint64(k))[0]) >> 44)
+        return out
+
+    for t, row in zip(cases, got):
+        mine, earlier = places(t), []
+        for model, p in zip(chain.models, row):
+            weights = dict(zip(model.places.tolist(), model.weights.tolist()))
+            z = model.intercept + sum(weights.get(x, 0.0) for x in mine) + sum(a * b for a, b in zip(model.earlier, earlier))
+            assert abs(1 / (1 + math.exp(-max(-30, min(30, z)))) - p) < 1e-5
+            earlier.append(p)
+    assert len(chain.models[1].earlier) == 1 and chain.models[1].earlier[0] != 0
+
+
+def test_trees_against_a_scalar_walk():
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(600, 6)).round(1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] * x[:, 2] > 0.2)).astype(float)
+    trees = quality.fit(x, y)
+    want = []
+    for row in x:
+        z = trees.base
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            while node < 2**quality.DEPTH - 1:
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            z += value[node - (2**quality.DEPTH - 1)]
+        want.append(1 / (1 + math.exp(-z)))
+    got = trees.score(x)
+    assert np.allclose(got, want) and ((got > 0.5) == y).mean() > 0.9
+
+
 def test_quality(labelled, documents, empty):
     docs, labels = labelled
     held = [r for r in quality.score_quality(docs, labels).collect() if r.held_out]
@@ -261,6 +402,35 @@ def test_a_cloud_of_near_copies(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
 
 
+@pytest.mark.parametrize("limits", [{"HELD": 100}, {"REST": 20}, {"REST": 20, "DEPTH": 1}, {"HELD": 100, "REST": 0}])
+def test_node_limits_leave_the_groups(spark, monkeypatch, limits):
+    """Hot nodes off the tasks, and rests branched on or compared at once: the same groups."""
+    for k, v in limits.items():
+        monkeypatch.setattr(near_dedup, k, v)
+    rng = random.Random(18)
+    base, boiler = [sentence(rng, 1) for _ in range(80)], sentence(rng, 40)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(80), rng.choice([0, 1, 2, 3, 4])):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(i, boiler + " " + sentence(rng, 30)) for i in range(200, 330)]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(rows)
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated rows, near copies under the smallest id, and groups of null ids leave one row each."""
+    rng = random.Random(19)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, a), (1, a + " end"), (2, a), (None, b), (None, b), (None, b + " end"), (None, c), (7, c), (8, ""), (8, ""), (9, None)]
+    kept = near_dedup.drop_near_copies(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, extra int").repartition(3)).collect()
+    by_text = Counter((r.doc_id, "a" if r.text and r.text.startswith(a) else "b" if r.text and r.text.startswith(b) else r.text) for r in kept)
+    assert by_text == Counter({(1, "a"): 1, (None, "b"): 1, (7, c): 1, (8, ""): 2, (9, None): 1})
+    assert all(rows[r.extra] == (r.doc_id, r.text) for r in kept)
+
+
 def test_drop_near_copies(spark, documents):
     docs = odd(spark, documents)
     kept = near_dedup.drop_near_copies(docs)
@@ -298,9 +468,9 @@ def test_repeats(documents, empty):
     assert suffix_dedup.repeat_digest(empty).count() == 0
 
 
-@pytest.mark.parametrize("group", [32768, 3])
+@pytest.mark.parametrize("group", [2048, 3])
 def test_first_copies_stay(spark, texts, group, monkeypatch):
-    """Whole anchors in one task, and suffixes grouped over the cluster, give the same cuts."""
+    """Whole anchors in one bucket, and anchors dealt into several, give the same cuts."""
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     by_text = {r.text: r.h for r in docs.select("text", suffix_dedup.F.xxhash64("text").alias("h")).collect()}
@@ -310,7 +480,7 @@ def test_first_copies_stay(spark, texts, group, monkeypatch):
         assert got == dict(enumerate(want))
 
 
-@pytest.mark.parametrize("group", [32768, 1])
+@pytest.mark.parametrize("group", [2048, 1])
 def test_repeated_rows_keep_a_first_copy(spark, group, monkeypatch):
     """Rows that repeat both id and text are one document: what they share with others stays in the first."""
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
@@ -350,12 +520,47 @@ def test_decontamination(spark, documents, empty, texts):
     assert decontaminate.contaminated(empty, bench).count() == 0
 
 
-def test_items_in_blocks(spark, monkeypatch, texts):
-    monkeypatch.setattr(decontaminate, "ITEM_CHARS", 200)
-    items = [(i, t) for i, t in enumerate(texts[19:35])]
-    docs = spark.createDataFrame([(i, "so " + t + " it") for i, t in items], "doc_id long, text string")
-    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert all(i in got[i] for i, _ in items)
+@pytest.mark.parametrize("chars", [4_000_000, 700])
+def test_decontamination_against_brute_force(spark, monkeypatch, chars):
+    """All items at once and in blocks, short and long, edited up to and beyond their budgets, in long and repeated texts."""
+    monkeypatch.setattr(decontaminate, "ITEM_CHARS", chars)
+    rng = random.Random(13)
+    items = [(i, sentence(rng, n)) for i, n in enumerate([1, 2, 3, 4, 5, 8, 13, 20, 30, 40] * 2)] + [(3, "Repeated  item\there"), (3, "repeated item here"), (None, "no id at all")]
+
+    def spoil(t, n):
+        t = list(t)
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], ["#"], [t[k], "#"]])
+        return "".join(t)
+
+    docs = [(None, None), (0, ""), (1, "Repeated item HERE, no id at all")]
+    for i, (_, t) in enumerate(items):
+        for n in range(4):
+            docs.append((10 * i + n, sentence(rng, rng.choice([0, 3, 30])) + " " + spoil(t, n * max(1, len(t) // 40)) + " " + sentence(rng, rng.choice([0, 4]))))
+    docs += [docs[5], (9000, sentence(rng, 4000) + " " + items[9][1] + " " + sentence(rng, 4000))]
+
+    def least(item, text):
+        row = np.zeros(len(text) + 1, int)
+        codes = np.array([ord(c) for c in text], int)
+        for i, c in enumerate(item, 1):
+            new = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
+            new = np.concatenate([[i], new])
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        return row.min()
+
+    plain = decontaminate.plain
+    want = Counter()
+    for d, t in docs:
+        hits = []
+        for i, item in items:
+            item = plain(item)
+            if t and (n := least(item, plain(t))) <= int(len(item) * 0.06):
+                hits.append((i, n))
+        ids = tuple(sorted((i for i, _ in hits), key=lambda x: (x is None, x)))
+        want[d, len(hits) > 0, len(hits), ids, min((n for _, n in hits), default=None)] += 1
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.contaminated, r.n_items, tuple(r.item_ids), r.min_distance) for r in rows) == want
 
 
 # ---- op 9 ----
@@ -377,6 +582,7 @@ def judge(url, rules, default="allow"):
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://", "https://WWW.Example.com/en/x?y#z", "http://example.com/de/", "http://a.net/es/1", "http://net/fr/", "ftp://x.org", "http://notexample.com/en/", "http://example.com", "a://b.com/://c", "http://www.example.com?/en/", "http://fr.net/fr"]
     urls += [f"http://h{i % 7}.example.{'com' if i % 2 else 'net'}/{'en' if i % 3 else 'es'}/{i}" for i in range(60)] + ["http://hot.com/en/"] * 40
+    urls += ["http://a.com/" + "p" * 30000, "http://" + "l." * 4000 + "example.com/en/"]
     more = [("h1.example.com", "/en/1", "block"), ("com", "/en/13", "block"), ("h3.example.com", "/", "allow"), ("org", "", "block"), (None, "/", "block")]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     for rules in (RULES, RULES + more, []):

@@ -20,6 +20,7 @@ def folder(spark, tmp_path_factory):
         docs.append((i, t, "en", "s", len(t)))
         labels.append((i, 1, int(i % 6 == 0)))
     extra = [(500, docs[1][1]), (501, docs[2][1] + " end"), (502, sentence(rng, 20) + " " + passage), (503, sentence(rng, 25) + " " + passage), (504, sentence(rng, 30) + " " + ITEM), (505, None), (506, ""), (None, sentence(rng, 30))]
+    extra += [(502, extra[2][1]), (503, extra[3][1]), (None, extra[-1][1])]  # repeated rows that share a passage
     docs += [(i, t, "en", "s", None if t is None else len(t)) for i, t in extra] + [docs[3]]
     path = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(docs, DOC).write.parquet(f"{path}/documents.parquet")
@@ -41,7 +42,7 @@ def test_stages(spark, folder):
     ids = {n: {r.doc_id for r in rows} for n, rows in seen.items()}
     clean = {i for i in range(240) if i % 6} | {500, 501, 502, 503, 504, 505, 506, None}
     assert ids["toxicity"] == clean
-    assert ids["near_dedup"] == clean - {500, 501}
+    assert ids["near_dedup"] == clean - {500, 501} and len(seen["near_dedup"]) == len(ids["near_dedup"])
     assert {(d, c) for (d, _, c) in groups([(r.doc_id, r.text) for r in seen["near_dedup"]])} == {(i, i) for i in ids["near_dedup"]}
     texts = {r.doc_id: r.text for r in seen["suffix_dedup"]}
     assert passage in texts[502] and passage not in texts[503] and set(texts) == ids["near_dedup"]
@@ -58,4 +59,9 @@ def test_odd_tables(spark, folder):
         assert stage(spark, docs.limit(0), path).count() == 0
         wide = odd(spark, docs.limit(30))
         out = stage(spark, wide, path)
-        assert set(wide.columns) <= set(out.columns) and out.count() > 20
+        assert set(wide.columns) <= set(out.columns)
+        got = {r.doc_id: r for r in out.collect()}
+        want = {r.doc_id: r for r in wide.collect() if name != "toxicity" or r.doc_id % 6}
+        assert set(got) == set(want)
+        others = [c for c in wide.columns if c != "text"]
+        assert all([got[i][c] for c in others] == [want[i][c] for c in others] for i in got)
