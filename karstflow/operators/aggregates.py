@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog, RequestError
+from .ranks import running
 
 NAME = re.compile(r"^[A-Za-z][A-Za-z0-9_]{0,62}$")
 
@@ -104,13 +105,14 @@ def merge_existing(parents: DataFrame, change: DataFrame, d: Aggregate) -> DataF
 
 def nearest_rank(df: DataFrame, value: str, percents: list[float], by: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at index floor(p / 100 * n) in ascending order, the last at most.
-    Ranks come from a window over each group and only the asked ranks are kept, so no list is built."""
-    from pyspark.sql import Window
-
+    Equal values are counted first; running counts over value ranges find the asked ranks, so no group is
+    sorted in one task and no list is built."""
     by = by or []
-    rows = df.where(F.col(value).isNotNull())
-    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")) if by else rows.agg(F.count("*").alias("n"))
-    wanted = sizes.withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in percents))))
-    wanted = wanted.withColumn("i", F.least(F.floor(F.col("p") / 100 * F.col("n")), F.col("n") - 1).cast("int"))
-    return wanted.join(ranked.select(*by, "i", F.col(value).alias("value")), [*by, "i"]).select(*by, "p", "value")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    ranks = running(counts.withColumn("all", F.lit(0)), [*by, "all"], ["value"], upto="n")
+    sizes = ranks.groupBy(*by, "all").agg(F.max("upto").alias("size"))
+    wanted = F.array(*(F.struct(F.lit(float(p)).alias("p"), F.least(F.floor(F.lit(float(p)) / 100 * F.col("size")), F.col("size") - 1).alias("i")) for p in percents))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "all")]
+    rows = ranks.alias("r").join(sizes.withColumn("wanted", wanted).alias("s"), same)
+    hit = F.filter("wanted", lambda w: (w["i"] < F.col("upto")) & (w["i"] >= F.col("upto") - F.col("n")))
+    return rows.select(*(F.col(f"r.{c}").alias(c) for c in by), "value", F.explode(hit).alias("w")).select(*by, "w.p", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import RequestError
+from .ranks import running
 
 
 def capture(before: DataFrame, after: DataFrame, pk: list[str]) -> DataFrame:
@@ -58,9 +59,31 @@ def touched(changes: DataFrame, pk: list[str]) -> DataFrame:
     return changes.select(F.explode(F.array("old", "new")).alias("row")).where("row IS NOT NULL").select(*(F.col(f"row.{c}").alias(c) for c in pk)).distinct()
 
 
+def ledger_append(ledger: DataFrame, writes: DataFrame, rotate: int = 786_432, most: int = 1_048_576) -> DataFrame:
+    """The ledger (version, row_table, row_pk, segment) with transactions (txn, row_table, row_pk) added in their order:
+    each gets the next version and its keys once. A new segment begins whenever ``rotate`` bytes of keys are
+    full; a transaction of over ``most`` bytes is refused, and all with it."""
+    keys = writes.select("txn", "row_table", "row_pk").distinct()
+    txns = keys.groupBy("txn").agg(F.sum(F.octet_length("row_table") + F.octet_length("row_pk")).alias("bytes"))
+    if not txns.where(F.col("bytes") > most).isEmpty():
+        raise RequestError("a transaction is too large for the ledger", 413)
+    head = ledger.agg(F.max("version"), F.max("segment")).first()  # (None, None) where the ledger is empty
+    numbered = running(txns.withColumn("one", F.lit(1)), [], ["txn"], nth="one", upto="bytes")
+    segment = F.floor((F.col("upto") - F.col("bytes")) / rotate) + F.lit((head[1] if head[1] is not None else -1) + 1)
+    numbered = numbered.select("txn", (F.col("nth") + F.lit(head[0] or 0)).cast("long").alias("version"), segment.cast("long").alias("segment"))
+    return ledger.unionByName(keys.join(numbered, "txn").select("version", "row_table", "row_pk", "segment"))
+
+
+def invalidate(ledger: DataFrame) -> tuple[DataFrame, int]:
+    """The ledger with a reset mark as its next version, and that version as the floor: every client starts anew."""
+    head = ledger.agg(F.max("version")).first()[0] or 0
+    mark = ledger.sparkSession.createDataFrame([(head + 1,)], "version long").withColumns({c: F.lit(None).cast(ledger.schema[c].dataType) for c in ledger.columns if c != "version"})
+    return ledger.unionByName(mark), head + 1
+
+
 def ledger_scan(ledger: DataFrame, cookie: int) -> DataFrame:
     """(row_table, row_pk) touched by transactions after ``cookie``, each once."""
-    return ledger.where(F.col("version") > cookie).select("row_table", "row_pk").distinct()
+    return ledger.where((F.col("version") > cookie) & F.col("row_table").isNotNull()).select("row_table", "row_pk").distinct()
 
 
 def ledger_gaps(ledger: DataFrame, cookie: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,11 @@ def owners_match(rows: DataFrame, user: str) -> DataFrame:
 
 def overlay(base: DataFrame, pending: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Aggregates with a client's pending deltas added, as it shows them before the server has applied them;
-    groups that the base lacks are left alone."""
+    groups that the base lacks are left alone. A null key or a delta that is no finite number is refused."""
+    finite = lambda c: F.coalesce(F.abs(F.col(c).cast("double")) < float("inf"), F.lit(False))
+    odd = [F.col(k).isNull() for k in keys] + [~finite(c) for c in columns]
+    if not pending.where(reduce(lambda a, b: a | b, odd)).isEmpty():
+        raise RequestError("a pending delta has a null key or no finite value")
     deltas = pending.groupBy(*keys).agg(*(F.sum(c).alias(f"d_{c}") for c in columns))
     rows = base.join(deltas, keys, "left")
     return rows.select(*(c for c in base.columns if c not in columns), *((F.col(c) + F.coalesce(f"d_{c}", F.lit(0))).alias(c) for c in columns))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.ast import Query
 from ..plans.catalog import Catalog
-from ..plans.planner import closure
+from ..plans.planner import check, closure, probe
 
 KEY = ["row_table", "row_pk"]
 
@@ -29,6 +29,39 @@ def touched_queries(queries: dict[str, Query], tables: set[str], computed: set[s
     return {h: q for h, q in queries.items() if h not in computed or q.tables() & tables}
 
 
+def describe(spark: SparkSession, queries: dict[str, Query], catalog: Catalog, version: int) -> DataFrame:
+    """Definitions (query, definition, root_table, dependencies, version) of queries that pass all checks."""
+    for q in queries.values():
+        check(q, catalog)
+    rows = [(h, repr(q), q.table, sorted(q.tables()), version) for h, q in queries.items()]
+    return spark.createDataFrame(rows, "query string, definition string, root_table string, dependencies array<string>, version long")
+
+
+def register(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """The definitions after some are asked for, with ``computed``: a new definition, or one that is changed or of another
+    version, is to be computed anew; the others keep their mark."""
+    new = asked.select("query", F.struct("definition", "root_table", "dependencies", "version").alias("new"))
+    both = known.select("query", F.struct("definition", "root_table", "dependencies", "version").alias("old"), "computed").join(new, "query", "full")
+    same = (F.col("old.definition") == F.col("new.definition")) & (F.col("old.version") == F.col("new.version"))
+    computed = F.coalesce("computed", F.lit(False)) & (F.col("new").isNull() | F.coalesce(same, F.lit(False)))
+    return both.select("query", F.coalesce("new", "old").alias("d"), computed.alias("computed")).select("query", "d.*", "computed")
+
+
+def change_version(known: DataFrame, query_rows: DataFrame, clients: DataFrame, version: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(definitions, query_rows, clients) under the server's version: definitions of another one are to be computed
+    anew and their rows go; a client (client, version) that saw another one is to be ``reset``, once."""
+    old = known.where(F.col("version") != version)
+    definitions = known.withColumns({"computed": F.col("computed") & (F.col("version") == version), "version": F.lit(version).cast("long")})
+    seen = clients.select("client", F.lit(version).cast("long").alias("version"), (~F.col("version").eqNullSafe(F.lit(version))).alias("reset"))
+    return definitions, query_rows.join(old.select("query"), "query", "left_anti"), seen
+
+
+def narrowed(query: Query, catalog: Catalog, changed: DataFrame, held: DataFrame) -> DataFrame:
+    """The changed keys of the query's own table that can alter its result: rows it holds now, or that pass its condition."""
+    pk = list(catalog.spec(query.table).primary_key)
+    return changed.select(*pk).join(held.select(*pk), pk, "left_semi").unionByName(probe(query, catalog, changed)).distinct()
+
+
 def membership_diff(live: DataFrame, durable: DataFrame) -> DataFrame:
     """(query, row_table, row_pk, change): 1 for rows that came, -1 for rows that went."""
     both = live.select("query", *KEY, F.lit(1).alias("n")).unionByName(durable.select("query", *KEY, F.lit(-1).alias("n")))

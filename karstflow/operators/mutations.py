@@ -17,15 +17,26 @@ def validate(rows: DataFrame, spec: TableSpec) -> None:
         raise RequestError(f"{spec.name}: the key columns {missing} are missing")
 
 
-def insert(table: DataFrame, rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """New keys are added; rows whose key exists are ignored."""
-    validate(rows, spec)
+def once(rows: DataFrame, spec: TableSpec, order: str | None, last: bool) -> DataFrame:
+    """One row for each key: the first or last in ``order``, a column beside the table's own; without one the
+    rows count in the order of their values. The sum by key leaves rows where the join by key needs them."""
+    validate(rows.drop(order) if order else rows, spec)
+    pk, given = list(spec.primary_key), [c for c in rows.columns if c in spec.columns and c not in spec.primary_key]
+    if not given:
+        return rows.select(*pk).distinct()
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*pk).agg(pick(F.struct(*given), F.col(order) if order else F.struct(*given)).alias("row")).select(*pk, "row.*")
+
+
+def insert(table: DataFrame, rows: DataFrame, spec: TableSpec, order: str | None = None) -> DataFrame:
+    """New keys are added; rows whose key exists are ignored, and of rows with one new key all but the first."""
+    rows = once(rows, spec, order, last=False)
     return table.unionByName(rows.join(table.select(*spec.primary_key), list(spec.primary_key), "left_anti"), allowMissingColumns=True).select(*table.columns)
 
 
-def upsert(table: DataFrame, rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """New keys are added; of existing rows the supplied columns are set, the others stay."""
-    validate(rows, spec)
+def upsert(table: DataFrame, rows: DataFrame, spec: TableSpec, order: str | None = None) -> DataFrame:
+    """New keys are added; of existing rows the supplied columns are set, the others stay. Of rows with one key the last counts."""
+    rows = once(rows, spec, order, last=True)
     pk = list(spec.primary_key)
     given = [c for c in rows.columns if c not in pk]
     new = rows.select(*pk, F.lit(True).alias("supplied"), *(F.col(c).alias(f"new_{c}") for c in given))
@@ -33,9 +44,9 @@ def upsert(table: DataFrame, rows: DataFrame, spec: TableSpec) -> DataFrame:
     return both.select(*(F.when(F.col("supplied"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in table.columns))
 
 
-def update(table: DataFrame, rows: DataFrame, spec: TableSpec) -> DataFrame:
-    """The supplied columns of existing rows are set; unknown keys are ignored."""
-    validate(rows, spec)
+def update(table: DataFrame, rows: DataFrame, spec: TableSpec, order: str | None = None) -> DataFrame:
+    """The supplied columns of existing rows are set; unknown keys are ignored. Of rows with one key the last counts."""
+    rows = once(rows, spec, order, last=True)
     pk = list(spec.primary_key)
     given = [c for c in rows.columns if c not in pk]
     if not given:
@@ -104,6 +115,35 @@ def preflight(mutations: DataFrame, clients: DataFrame) -> DataFrame:
     return new.unionByName(old).select("client", "id", verdict.alias("verdict"))
 
 
+def check_pushes(pushes: DataFrame, dropped: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(mutations, problems) of push bodies (push, version, client, id, name): a body with any problem goes as a
+    whole. A body's version must be 1, each mutation needs a client, a positive id and a name, and a client's ids
+    must not repeat. Mutations named in ``dropped`` (clean-up without effects) are left out of good bodies."""
+    broken = F.col("client").isNull() | F.col("id").isNull() | (F.col("id") <= 0) | F.col("name").isNull()
+    rows = pushes.groupBy("push", "client", "id").agg(F.max(F.coalesce(F.col("version") != 1, F.lit(True))).alias("unsupported"), F.max(broken).alias("broken"), (F.count("*") > 1).alias("repeats"))
+    bodies = rows.groupBy("push").agg(*(F.max(c).alias(c) for c in ("unsupported", "broken", "repeats")))
+    problem = F.when(F.col("unsupported"), "unsupported version").when(F.col("broken"), "malformed mutation").when(F.col("repeats"), "repeated id")
+    problems = bodies.select("push", problem.alias("problem")).where("problem IS NOT NULL")
+    good = pushes.join(problems.select("push"), "push", "left_anti").where(~F.col("name").isin(*dropped) if dropped else F.lit(True))
+    return good.select("push", "client", "id", "name"), problems
+
+
+def run_mutations(verdicts: DataFrame, failed: DataFrame, effects: DataFrame, clients: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(effects, clients) after the mutations (client, id, verdict) that apply: one that failed in the application
+    leaves no effect, and its client's last id moves on all the same."""
+    ran = verdicts.where("verdict = 'apply'").select("client", "id")
+    good = ran.join(failed.select("client", "id"), ["client", "id"], "left_anti")
+    return effects.join(good, ["client", "id"], "left_semi"), settle_acks(ran, clients)
+
+
+def settle_in_order(mutations: DataFrame, acks: DataFrame, clients: DataFrame) -> DataFrame:
+    """``settle_acks`` where the acks (seq, client, id) are the mutations exactly, in their order; else no id moves."""
+    both = mutations.select("seq", F.struct("client", "id").alias("sent")).join(acks.select("seq", F.struct("client", "id").alias("acked")), "seq", "full")
+    if not both.where(~F.col("sent").eqNullSafe(F.col("acked"))).isEmpty():
+        raise RequestError("the acknowledgements differ from the mutations")
+    return settle_acks(acks, clients)
+
+
 def settle_acks(acks: DataFrame, clients: DataFrame) -> DataFrame:
     """Each client's last id after acknowledged mutations: the largest id, never lower than before."""
     top = acks.groupBy("client").agg(F.max("id").alias("ack"))

@@ -191,11 +191,14 @@ def nested(query: Query, catalog: Catalog, singular: bool = False, singles: froz
     check(query, catalog)
     if singular:
         query = Query(query.table, query.alias, query.where, query.related, query.order_by, min(1, 1 if query.limit is None else query.limit), query.start)
-    rows = attach(flat(query, catalog), query, catalog, singles, "")
+    narrow = query.where is not None or query.start is not None or query.limit is not None
+    rows = attach(flat(query, catalog), query, catalog, singles, "", narrow)
     return rows.orderBy(*exprs.sort_columns(order_of(query, catalog)))
 
 
-def attach(df: DataFrame, query: Query, catalog: Catalog, singles: frozenset[str], path: str) -> DataFrame:
+def attach(df: DataFrame, query: Query, catalog: Catalog, singles: frozenset[str], path: str, narrow: bool = False) -> DataFrame:
+    """``df`` with its related objects. Where it is not a whole table (``narrow``), children are first
+    restricted to those of its rows, so only they are ranked and packed."""
     names = set(catalog.spec(query.table).columns)
     for n, r in enumerate(query.related):
         target = junction_target(r) if r.hidden else r
@@ -208,20 +211,28 @@ def attach(df: DataFrame, query: Query, catalog: Catalog, singles: frozenset[str
         limit = min(1, 1 if target.query.limit is None else target.query.limit) if one else target.query.limit
         sub = Query(target.query.table, alias, target.query.where, target.query.related, target.query.order_by, limit, target.query.start)
         children = candidates(sub, catalog)
+        asked = df.select(*(F.col(p).alias(k) for p, k in zip(r.parent, keys))).dropna().distinct() if narrow else None
         if r.hidden:
             link = catalog.scan(r.query.table).select(*(F.col(c).alias(k) for c, k in zip(r.child, keys)), *(F.col(p).alias(f"j{i}") for i, p in enumerate(target.parent)))
+            link = link if asked is None else link.join(asked, keys, "left_semi")
             on = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"j{i}") for i, c in enumerate(target.child)))
             children = children.join(link, on).drop(*(f"j{i}" for i in range(len(target.parent))))
         else:
             children = children.withColumns({k: F.col(c) for c, k in zip(r.child, keys)})
-        children = ranked(children.dropna(subset=keys), tuple(keys), sub, catalog, f"rn{n}")
-        children = attach(children, sub, catalog, singles, f"{here}.")
+            children = children if asked is None else children.join(asked, keys, "left_semi")
+        children = children.dropna(subset=keys)
+        unique = one and limit == 1 and not r.hidden and set(catalog.spec(sub.table).primary_key) <= set(r.child)
+        children = children.withColumn(f"rn{n}", F.lit(1)) if unique else ranked(children, tuple(keys), sub, catalog, f"rn{n}")
+        children = attach(children, sub, catalog, singles, f"{here}.", narrow or sub.where is not None or limit is not None)
         own = [c for c in children.columns if c not in keys and c != f"rn{n}"]
+        on = reduce(lambda a, b: a & b, (F.col(p) == F.col(k) for p, k in zip(r.parent, keys)))
+        if one:  # a key has one row at most: no list
+            df = df.join(children.select(*keys, F.struct(*own).alias(alias)), on, "left").drop(*keys)
+            continue
         packed = F.array_sort(F.collect_list(F.struct(F.col(f"rn{n}").alias("rn"), F.struct(*own).alias("row"))))
         grouped = children.groupBy(*keys).agg(F.transform(packed, lambda x: x["row"]).alias(alias))
-        on = reduce(lambda a, b: a & b, (F.col(p) == F.col(k) for p, k in zip(r.parent, keys)))
         df = df.join(grouped, on, "left").drop(*keys)
-        df = df.withColumn(alias, F.try_element_at(alias, F.lit(1)) if one else F.coalesce(alias, F.array().cast(grouped.schema[alias].dataType)))
+        df = df.withColumn(alias, F.coalesce(alias, F.array().cast(grouped.schema[alias].dataType)))
     return df
 
 

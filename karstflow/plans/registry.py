@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from .ast import Junction, Q, Query, Simple, Start
 from .catalog import Catalog, RequestError
-from .planner import flat, order_of
+from .planner import all_rows, flat, order_of
 
 Builder = Callable[[Any, Any], Q]
 
@@ -69,6 +69,19 @@ def guarded(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return df
 
 
+def within_budget(query: Query, catalog: Catalog, max_selects: int = 256, max_rows: int = 10_000) -> list[tuple[str, DataFrame]]:
+    """``all_rows`` of the query, refused if one select for each parent row and relation would be more than
+    ``max_selects``, or if all levels hold more than ``max_rows``; no level is counted further than that."""
+    levels, selects, rows = all_rows(query, catalog), 1, 0
+    relations = {path: sum(other.rpartition("/")[0] == path for other, _ in levels) for path, _ in levels}
+    for path, df in levels:
+        n = df.limit(max(max_selects, max_rows) + 1).count()
+        selects, rows = selects + n * relations[path], rows + n
+        if selects > max_selects or rows > max_rows:
+            raise RequestError(f"the query takes more than {max_selects} selects or {max_rows} rows")
+    return levels
+
+
 def batches(query: Query, catalog: Catalog, size: int) -> Iterator[DataFrame]:
     """A query's result in pages of ``size`` rows, each continued after the last row of the one before."""
     order = order_of(query, catalog)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +41,12 @@ def pages(catalog: Catalog, table: str, size: int):
 
 def unescape(field: Column) -> Column:
     r"""One COPY field: ``\N`` is NULL; ``\\ \n \r \t \b \f \v`` are undone from left to right, ``\x`` is x."""
-    marks = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
-    # escaped backslashes are put aside first, so they can't start another escape
-    hidden = F.regexp_replace(field, r"\\\\", "\u0001")
-    out = reduce(lambda c, m: F.replace(c, F.lit("\\" + m), F.lit(marks[m])), marks, hidden)
-    out = F.regexp_replace(out, r"\\(.)", "$1")
-    return F.when(field == r"\N", F.lit(None)).otherwise(F.replace(out, F.lit("\u0001"), F.lit("\\")))
+    marks = F.create_map(*(F.lit(x) for pair in {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}.items() for x in pair))
+    # one pass from the left cuts the field into escapes and runs without any
+    parts = F.regexp_extract_all(field, F.lit(r"(?s)(\\.|[^\\]+|\\$)"), F.lit(1))
+    mark = lambda x: F.substring(x, 2, 1)
+    undone = F.transform(parts, lambda x: F.when(x.startswith("\\") & (F.length(x) == 2), F.coalesce(F.try_element_at(marks, mark(x)), mark(x))).otherwise(x))
+    return F.when(field == r"\N", F.lit(None)).otherwise(F.array_join(undone, ""))
 
 
 def copy_rows(lines: DataFrame, columns: list[str]) -> DataFrame:

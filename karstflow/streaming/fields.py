@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -45,6 +46,25 @@ def accumulate(frames: DataFrame, max_bytes: int | None = None) -> DataFrame:
     return out if max_bytes is None else out.where(F.octet_length("value") <= max_bytes)
 
 
+def admitted(frames: DataFrame, manifest: list[dict]) -> DataFrame:
+    """The frames (table, column, value, ...) whose field's checks hold: ``filter`` and ``validate`` are functions from
+    the value's column to a condition. Frames of fields that the manifest lacks go."""
+    keep = F.lit(False)
+    for f in manifest:
+        mine = (F.col("table") == f["table"]) & (F.col("column") == f["column"])
+        checks = [f[k](F.col("value")) for k in ("filter", "validate") if callable(f.get(k))]
+        keep = keep | reduce(lambda a, b: a & F.coalesce(b, F.lit(False)), checks, mine)
+    return frames.where(keep)
+
+
+def paced(values: DataFrame, max_updates: int, max_bytes: int) -> DataFrame:
+    """What a publisher sends of (topic, at, value): in each second at most ``max_updates`` values, the last of each of as
+    many even slots, and of these as many from the first on as fit into ``max_bytes``. A publisher starts anew each second."""
+    slots = coalesced(values, 1000 / max_updates)
+    second = Window.partitionBy("topic", F.floor(F.col("at") / 1000)).orderBy("flush")  # at most max_updates rows
+    return slots.withColumn("bytes", F.sum(F.octet_length("value")).over(second)).where(F.col("bytes") <= max_bytes).select("topic", "at", "value")
+
+
 def suffixes(values: DataFrame) -> DataFrame:
     """What a publisher ships of a growing value (topic, seq, value): the part after the delivered prefix;
     ``broken`` where the value doesn't keep that prefix."""
@@ -54,9 +74,9 @@ def suffixes(values: DataFrame) -> DataFrame:
     return rows.select("topic", "seq", F.when(keeps, F.expr("substring(value, length(before) + 1)")).alias("suffix"), (~keeps).alias("broken"))
 
 
-def coalesced(values: DataFrame, window_ms: int) -> DataFrame:
-    """The last value of each topic in each flush window (topic, at, value)."""
-    return values.groupBy("topic", F.floor(F.col("at") / window_ms).alias("flush")).agg(F.max("at").alias("at"), F.max_by("value", "at").alias("value"))
+def coalesced(values: DataFrame, window_ms: float, order: str = "at") -> DataFrame:
+    """The last value (by ``order``) of each topic in each flush window (topic, at, value)."""
+    return values.groupBy("topic", F.floor(F.col("at") / window_ms).alias("flush")).agg(F.max("at").alias("at"), F.max_by("value", order).alias("value"))
 
 
 STATE = "stream string, started long, seq long, value string, ended boolean"

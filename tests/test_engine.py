@@ -7,28 +7,31 @@ import pytest
 from pyspark.sql import functions as F
 
 from karstflow.functions import exprs, values
-from karstflow.operators import aggregates, budget, cdc, history, membership, mutations
+from karstflow.operators import aggregates, budget, cdc, desires, history, membership, mutations
+from karstflow.plans import registry
 from karstflow.plans.ast import Q, and_, cmp, exists, or_
 from karstflow.plans.catalog import Catalog, RequestError, TableSpec, raw_sql
 from karstflow.plans.planner import all_rows, closure, flat, nested
 from karstflow.sources import readers, sinks
 from karstflow.streaming import fields, ingest
 
-ISSUE = TableSpec("issue", {"id": "string", "title": "string", "closed": "boolean", "priority": "number", "ownerId": "string"}, ("id",))
-COMMENT = TableSpec("comment", {"id": "string", "issueId": "string", "body": "string"}, ("id",))
-LABEL = TableSpec("label", {"id": "string", "name": "string"}, ("id",))
-LINK = TableSpec("link", {"issueId": "string", "labelId": "string", "n": "number"}, ("issueId", "labelId", "n"))
-COMMENTS = ("comment", "id", "issueId")
+BOOK = TableSpec("book", {"id": "string", "title": "string", "lent": "boolean", "pages": "number", "shelf": "string"}, ("id",))
+NOTE = TableSpec("note", {"id": "string", "bookId": "string", "text": "string"}, ("id",))
+TAG = TableSpec("tag", {"id": "string", "name": "string"}, ("id",))
+LINK = TableSpec("link", {"bookId": "string", "tagId": "string", "n": "number"}, ("bookId", "tagId", "n"))
+NOTES = ("note", "id", "bookId")
+ALL = [f"b0{i}" for i in range(1, 8)]
 
 
 @pytest.fixture(scope="module")
 def catalog(spark):
-    issues = [("i1", "alpha", False, 5.0, "u1"), ("i2", "beta", True, 3.0, "u1"), ("i3", "gamma", False, 1.0, "u2"), ("i4", "delta", False, 3.0, "u2"), ("i5", "Émile", None, None, None), ("i6", "a%b_c\\d", True, None, "u3")]
-    return Catalog(ISSUE, COMMENT, LABEL, LINK).bind(
-        issue=spark.createDataFrame(issues, "id string, title string, closed boolean, priority double, ownerId string"),
-        comment=spark.createDataFrame([("c1", "i1", "x"), ("c2", "i1", "y"), ("c3", "i3", "z"), ("c4", None, "w")], "id string, issueId string, body string"),
-        label=spark.createDataFrame([("l1", "red"), ("l2", "blue")], "id string, name string"),
-        link=spark.createDataFrame([("i1", "l1", 1.0), ("i1", "l2", 1.0), ("i1", "l1", 2.0), ("i2", "l2", 1.0)], "issueId string, labelId string, n double"),
+    books = [("b01", "River maps", True, 120.0, "s3"), ("b02", "Oak", False, 300.0, "s1"), ("b03", "Ärger", None, 120.0, "s3"), ("b04", "100%_sure\\", False, None, "s2"),
+             ("b05", "owl", True, 88.0, None), ("b06", "Quiet hills", None, None, "s1"), ("b07", "Moss", False, 45.0, "s4")]
+    return Catalog(BOOK, NOTE, TAG, LINK).bind(
+        book=spark.createDataFrame(books, "id string, title string, lent boolean, pages double, shelf string"),
+        note=spark.createDataFrame([("n1", "b02", "dry"), ("n2", "b05", "wet"), ("n3", "b05", "dry"), ("n4", None, "lost"), ("n5", "b07", "wet")], "id string, bookId string, text string"),
+        tag=spark.createDataFrame([("t1", "amber"), ("t2", "slate")], "id string, name string"),
+        link=spark.createDataFrame([("b05", "t1", 1.0), ("b05", "t2", 1.0), ("b05", "t1", 2.0), ("b01", "t2", 1.0)], "bookId string, tagId string, n double"),
     )
 
 
@@ -37,22 +40,23 @@ def ids(catalog, q):
 
 
 def found(catalog, *where):
-    return sorted(ids(catalog, Q("issue").where(*where)))
+    return sorted(ids(catalog, Q("book").where(*where)))
 
 
 @pytest.mark.parametrize("where, want", [
-    (("closed", "!=", True), ["i1", "i3", "i4"]), (("closed", "IS NOT", True), ["i1", "i3", "i4", "i5"]), (("priority", "=", None), []), (("priority", "IS", None), ["i5", "i6"]),
-    (("priority", "IN", []), []), (("priority", "NOT IN", []), ["i1", "i2", "i3", "i4", "i5", "i6"]), (("priority", "IN", [3, None]), ["i2", "i4"]), (("priority", "NOT IN", [3, None]), []),
-    (("priority", "NOT IN", [3]), ["i1", "i3"]), (("priority", "=", "3"), ["i2", "i4"]), (("priority", "=", "x"), []), (("priority", "!=", "x"), ["i1", "i2", "i3", "i4"]), (("priority", "<", "x"), ["i1", "i2", "i3", "i4"]),
-    (("closed", "=", 1), ["i2", "i6"]), (("closed", "IN", [0]), ["i1", "i3", "i4"]), (("title", "=", 5), []),
-    (("title", "LIKE", "A%"), []), (("title", "ILIKE", "A%"), ["i1", "i6"]), (("title", "ILIKE", "é%"), []), (("title", "LIKE", r"a\%b\_c\\d"), ["i6"]), (("title", "LIKE", r"\a\lpha"), ["i1"]), (("title", "NOT LIKE", "%a"), ["i5", "i6"]),
-    ((True,), ["i1", "i2", "i3", "i4", "i5", "i6"]), ((False,), []), ((and_(),), ["i1", "i2", "i3", "i4", "i5", "i6"]), ((or_(),), []),
-    ((exists(COMMENTS),), ["i1", "i3"]), ((exists(COMMENTS, negated=True),), ["i2", "i4", "i5", "i6"]), ((or_(cmp("priority", "=", 3), exists(COMMENTS, Q("comment").where("body", "z"))),), ["i2", "i3", "i4"]),
-    ((or_(cmp("id", "=", "i2"), exists(COMMENTS, negated=True)),), ["i2", "i4", "i5", "i6"]), ((exists(COMMENTS, Q("comment").limit(0)),), []), ((exists(COMMENTS, Q("comment").limit(0), negated=True),), ["i1", "i2", "i3", "i4", "i5", "i6"]),
-    ((exists(("issue", "ownerId", "ownerId"), Q("issue").where("closed", True)),), ["i1", "i2", "i6"]),
+    (("lent", "!=", True), "2 4 7"), (("lent", "IS NOT", True), "2 3 4 6 7"), (("pages", "=", None), ""), (("pages", "IS", None), "4 6"),
+    (("pages", "IN", []), ""), (("pages", "NOT IN", []), "1 2 3 4 5 6 7"), (("pages", "IN", [120, None]), "1 3"), (("pages", "NOT IN", [120, None]), ""), (("pages", "NOT IN", [120]), "2 5 7"),
+    (("pages", "=", "120"), "1 3"), (("pages", "=", "x"), ""), (("pages", "!=", "x"), "1 2 3 5 7"), (("pages", "<", "x"), "1 2 3 5 7"), (("pages", ">=", 88), "1 2 3 5"),
+    (("lent", "=", 1), "1 5"), (("lent", "IN", [0]), "2 4 7"), (("title", "=", 5), ""), (("title", ">", "Quiet"), "1 3 5 6"),
+    (("title", "LIKE", "o%"), "5"), (("title", "ILIKE", "o%"), "2 5"), (("title", "ILIKE", "ä%"), ""), (("title", "LIKE", "Ä%"), "3"), (("title", "LIKE", r"100\%\_sure\\"), "4"), (("title", "LIKE", r"\O\ak"), "2"),
+    (("title", "NOT LIKE", "%s"), "2 3 4 5"), (("title", "LIKE", "_w_"), "5"),
+    ((True,), "1 2 3 4 5 6 7"), ((False,), ""), ((and_(),), "1 2 3 4 5 6 7"), ((or_(),), ""),
+    ((exists(NOTES),), "2 5 7"), ((exists(NOTES, negated=True),), "1 3 4 6"), ((or_(cmp("pages", "=", 120), exists(NOTES, Q("note").where("text", "dry"))),), "1 2 3 5"),
+    ((or_(cmp("id", "=", "b02"), exists(NOTES, negated=True)),), "1 2 3 4 6"), ((exists(NOTES, Q("note").limit(0)),), ""), ((exists(NOTES, Q("note").limit(0), negated=True),), "1 2 3 4 5 6 7"),
+    ((exists(("book", "shelf", "shelf"), Q("book").where("lent", True)),), "1 3"), ((exists(("link", "id", "bookId"), Q("link").where_exists(("tag", "tagId", "id"), Q("tag").where("name", "amber"))),), "5"),
 ])
 def test_conditions(catalog, where, want):
-    assert found(catalog, *where) == want
+    assert found(catalog, *where) == [f"b0{i}" for i in want.split()]
 
 
 def test_trailing_backslash(catalog):
@@ -61,34 +65,34 @@ def test_trailing_backslash(catalog):
 
 
 def test_null_cursors_and_orders(catalog):
-    assert ids(catalog, Q("issue").order_by("priority").start({"priority": None, "id": "i5"})) == ["i6", "i3", "i2", "i4", "i1"]
-    assert ids(catalog, Q("issue").order_by("priority", "desc").start({"priority": 3, "id": "i2"})) == ["i4", "i3", "i5", "i6"]
-    assert ids(catalog, Q("issue").order_by("priority").limit(3)) == ["i5", "i6", "i3"]
-    assert ids(catalog, Q("issue").limit(2)) == ["i1", "i2"]
+    assert ids(catalog, Q("book").order_by("pages").start({"pages": None, "id": "b04"})) == ["b06", "b07", "b05", "b01", "b03", "b02"]
+    assert ids(catalog, Q("book").order_by("pages", "desc").start({"pages": 120, "id": "b01"})) == ["b03", "b05", "b07", "b04", "b06"]
+    assert ids(catalog, Q("book").order_by("pages").limit(3)) == ["b04", "b06", "b07"]
+    assert ids(catalog, Q("book").limit(2)) == ["b01", "b02"]
     with pytest.raises(RequestError):
-        ids(catalog, Q("issue").order_by("priority").start({"priority": 1}))
+        ids(catalog, Q("book").order_by("pages").start({"pages": 1}))
 
 
 def test_pages_join_to_the_whole(catalog):
-    whole = ids(catalog, Q("issue").order_by("priority", "desc"))
-    rows = flat(Q("issue").order_by("priority", "desc").ast, catalog).collect()
+    whole = ids(catalog, Q("book").order_by("pages", "desc"))
+    rows = flat(Q("book").order_by("pages", "desc").ast, catalog).collect()
     for size in (1, 2, 4):
         out, last = [], None
         while True:
-            q = Q("issue").order_by("priority", "desc").limit(size)
-            part = flat((q if last is None else q.start({"priority": last.priority, "id": last.id})).ast, catalog).collect()
+            q = Q("book").order_by("pages", "desc").limit(size)
+            part = flat((q if last is None else q.start({"pages": last.pages, "id": last.id})).ast, catalog).collect()
             out += [r.id for r in part]
             if len(part) < size:
                 break
             last = part[-1]
         assert out == whole
-    assert len(rows) == 6
+    assert len(rows) == 7
 
 
 def test_metamorphic(catalog):
     """Random condition trees: a redundant conjunct, another order, De Morgan with nulls, and prefixes by limit."""
     rng = random.Random(5)
-    leaf = lambda: rng.choice([cmp("priority", rng.choice(["=", "!=", "<", ">=", "IS", "IS NOT"]), rng.choice([1, 3, 5, None])), cmp("closed", "=", rng.choice([True, False])), cmp("ownerId", "IN", ["u1", "u3"]), exists(COMMENTS)])
+    leaf = lambda: rng.choice([cmp("pages", rng.choice(["=", "!=", "<", ">=", "IS", "IS NOT"]), rng.choice([45, 88, 120, None])), cmp("lent", "=", rng.choice([True, False])), cmp("shelf", "IN", ["s1", "s3"]), exists(NOTES)])
     tree = lambda d: leaf() if d == 0 else rng.choice([and_, or_])(*(tree(d - 1) for _ in range(rng.randint(1, 3))))
     for _ in range(8):
         c = tree(2)
@@ -96,46 +100,52 @@ def test_metamorphic(catalog):
         assert found(catalog, and_(c, or_(c, leaf()))) == base
         if not hasattr(c, "op") and hasattr(c, "conditions"):
             assert found(catalog, type(c)(c.kind, tuple(reversed(c.conditions)))) == base
-        q = Q("issue").where(c).order_by("priority")
+        q = Q("book").where(c).order_by("pages")
         assert ids(catalog, q.limit(2)) == ids(catalog, q)[:2]
         assert set(base) <= set(found(catalog, True))
 
 
 def test_related_flat(catalog):
-    q = Q("issue").where("priority", ">", 0).related("comments", COMMENTS, Q("comment").order_by("id", "desc").limit(1))
+    q = Q("book").where("pages", ">", 50).related("notes", NOTES, Q("note").order_by("id", "desc").limit(1))
     (_, roots), (path, rows) = all_rows(q.ast, catalog)
-    assert path == "issue/comments" and sorted(r.id for r in rows.collect()) == ["c2", "c3"] and roots.count() == 4
-
-
-def test_nested(catalog):
-    labels = Q("link").related("labels", ("label", "labelId", "id"), Q("label").order_by("name"))
-    q = Q("issue").related("comments", COMMENTS, Q("comment").related("issue", ("issue", "issueId", "id"))).related("l", ("link", "id", "issueId"), labels, hidden=True)
-    rows = {r.id: r.asDict(True) for r in nested(q.ast, catalog, singles=frozenset({"comments.issue"})).collect()}
-    assert [c["id"] for c in rows["i1"]["comments"]] == ["c1", "c2"] and rows["i1"]["comments"][0]["issue"]["title"] == "alpha"
-    assert [x["name"] for x in rows["i1"]["labels"]] == ["blue", "red", "red"]  # a repeated junction row repeats its target
-    assert rows["i5"]["comments"] == [] and rows["i5"]["labels"] == []
-    one = nested(Q("issue").related("comments", COMMENTS).ast, catalog, singles=frozenset({"comments"})).collect()
-    assert {r.id: r.comments and r.comments.id for r in one} == {"i1": "c1", "i3": "c3", "i2": None, "i4": None, "i5": None, "i6": None}
+    assert path == "book/notes" and sorted(r.id for r in rows.collect()) == ["n1", "n3"] and roots.count() == 4
+
+
+@pytest.mark.parametrize("pages", [None, 80])
+def test_nested(catalog, pages):
+    """Whole parents, and parents that narrow what is ranked and packed beneath them, give the same objects."""
+    tags = Q("link").related("tags", ("tag", "tagId", "id"), Q("tag").order_by("name"))
+    q = Q("book").where("pages", ">", pages) if pages else Q("book")
+    q = q.related("notes", NOTES, Q("note").related("book", ("book", "bookId", "id"))).related("l", ("link", "id", "bookId"), tags, hidden=True)
+    rows = {r.id: r.asDict(True) for r in nested(q.ast, catalog, singles=frozenset({"notes.book"})).collect()}
+    assert sorted(rows) == (ALL if pages is None else ["b01", "b02", "b03", "b05"])
+    assert [n["id"] for n in rows["b05"]["notes"]] == ["n2", "n3"] and rows["b05"]["notes"][0]["book"]["title"] == "owl"
+    assert [x["name"] for x in rows["b05"]["tags"]] == ["amber", "amber", "slate"]  # a repeated junction row repeats its target
+    assert rows["b03"]["notes"] == [] and rows["b03"]["tags"] == [] and [x["name"] for x in rows["b01"]["tags"]] == ["slate"]
+    one = nested(Q("book").related("notes", NOTES).ast, catalog, singles=frozenset({"notes"})).collect()
+    assert {r.id: r.notes and r.notes.id for r in one} == {**dict.fromkeys(ALL), "b02": "n1", "b05": "n2", "b07": "n5"}
+    none = nested(Q("book").related("notes", NOTES, Q("note").limit(0)).ast, catalog, singles=frozenset({"notes"})).collect()
+    assert [r.notes for r in none] == [None] * 7
 
 
 def test_closure(catalog):
-    rows = closure(Q("issue").where(or_(cmp("id", "=", "i1"), exists(COMMENTS, Q("comment").where("body", "z")))).ast, catalog).collect()
-    assert sorted((r.row_table, json.loads(r.row_pk)["id"]) for r in rows) == [("comment", "c3"), ("issue", "i1"), ("issue", "i3")]
-    assert closure(Q("issue").where(exists(COMMENTS, negated=True)).ast, catalog).where("row_table = 'comment'").count() == 0
+    rows = closure(Q("book").where(or_(cmp("id", "=", "b01"), exists(NOTES, Q("note").where("text", "dry")))).ast, catalog).collect()
+    assert sorted((r.row_table, json.loads(r.row_pk)["id"]) for r in rows) == [("book", "b01"), ("book", "b02"), ("book", "b05"), ("note", "n1"), ("note", "n3")]
+    assert closure(Q("book").where(exists(NOTES, negated=True)).ast, catalog).where("row_table = 'note'").count() == 0
 
 
 def test_membership_follows_changes(spark, catalog):
     """The patched store equals a fresh evaluation after each random change."""
     rng = random.Random(3)
-    queries = {"open": Q("issue").where("closed", False).ast, "talked": Q("issue").where_exists(COMMENTS).related("comments", COMMENTS).ast}
-    rows = [r.asDict() for r in catalog.scan("issue").collect()]
+    queries = {"here": Q("book").where("lent", False).ast, "noted": Q("book").where_exists(NOTES).related("notes", NOTES).ast}
+    rows = [r.asDict() for r in catalog.scan("book").collect()]
     durable = membership.members(queries, catalog)
     refs = durable.groupBy(*membership.KEY).agg(F.count("*").alias("refs")).withColumns({"added": F.lit(1).cast("long"), "removed": F.lit(None).cast("long")})
     store = {tuple(r) for r in durable.select(*membership.KEY).distinct().collect()}
     for version in (2, 3):
         for r in rng.sample(rows, 3):
-            r["closed"] = rng.choice([True, False])
-        now = catalog.bind(issue=spark.createDataFrame(rows, catalog.scan("issue").schema))
+            r["lent"] = rng.choice([True, False])
+        now = catalog.bind(book=spark.createDataFrame(rows, catalog.scan("book").schema))
         live = membership.members(queries, now)
         diff = membership.membership_diff(live, durable)
         moved = membership.apply_delta(refs, membership.net_delta(diff), version)
@@ -145,18 +155,32 @@ def test_membership_follows_changes(spark, catalog):
         assert {(r.op, r.row_pk) for r in membership.replay(moved, version - 1).collect()} == {(r.op, r.row_pk) for r in moved.where("op IS NOT NULL").collect()}
         durable, refs = spark.createDataFrame(live.collect(), live.schema), spark.createDataFrame(moved.drop("op").collect(), moved.drop("op").schema)
     assert membership.prune(refs, 3).where("refs <= 0").count() == 0
-    value = membership.with_values(membership.full_patch(durable).select("op", *membership.KEY), "issue", catalog).where("id like '%i1%'").first()
-    assert json.loads(value.value)["title"] == "alpha"
+    value = membership.with_values(membership.full_patch(durable).select("op", *membership.KEY), "book", catalog).where("id like '%b02%'").first()
+    assert json.loads(value.value)["title"] == "Oak"
 
 
 def test_membership_control():
-    q = {"a": Q("issue").where_exists(COMMENTS).ast, "b": Q("label").ast}
-    assert set(membership.touched_queries(q, {"comment"}, {"a", "b"})) == {"a"} and set(membership.touched_queries(q, set(), {"a"})) == {"b"}
+    q = {"a": Q("book").where_exists(NOTES).ast, "b": Q("tag").ast}
+    assert set(membership.touched_queries(q, {"note"}, {"a", "b"})) == {"a"} and set(membership.touched_queries(q, set(), {"a"})) == {"b"}
     assert [membership.response_mode(*x) for x in ((None, 0, 5), (1, 2, 5), (5, 0, 5), (4, 0, 5), (5, 0, 5, True))] == ["full", "full", "unchanged", "diff", "full"]
     with pytest.raises(RequestError):
         membership.response_mode(6, 0, 5)
 
 
+def test_overlay_and_budgets(spark, catalog):
+    base = spark.createDataFrame([("a", 2, 1.0)], "g string, n long, t double")
+    pending = lambda *rows: spark.createDataFrame(rows, "g string, n long, t double")
+    assert [tuple(r) for r in desires.overlay(base, pending(("a", 1, -0.5), ("z", 1, 1.0)), ["g"], ["n", "t"]).collect()] == [("a", 3, 0.5)]
+    for bad in ((None, 1, 1.0), ("a", 1, float("nan")), ("a", 1, float("inf")), ("a", None, 1.0)):
+        with pytest.raises(RequestError):
+            desires.overlay(base, pending(bad), ["g"], ["n", "t"])
+    q = Q("book").related("notes", NOTES).ast
+    assert [p for p, _ in registry.within_budget(q, catalog, 8, 11)] == ["book", "book/notes"]
+    for limits in ((7, 11), (8, 10)):
+        with pytest.raises(RequestError):
+            registry.within_budget(q, catalog, *limits)
+
+
 def test_aggregate_deltas(spark):
     d = aggregates.Aggregate("s", "t", {"g": "key"}, "n", {"total": "x"})
     before = spark.createDataFrame([(1, "a", 2), (2, "a", None), (3, "b", 5), (4, None, 1)], "id int, g string, x long")
@@ -171,6 +195,11 @@ def test_aggregate_deltas(spark):
     assert {tuple(r) for r in aggregates.merge_existing(start, aggregates.delta(changes, e), e).collect()} == {("a", 1, 7), ("z", 0, 0)}
     ranks = aggregates.nearest_rank(spark.range(1, 11).withColumnRenamed("id", "v"), "v", [0, 50, 99, 100])
     assert {r.p: r.value for r in ranks.collect()} == {0.0: 1, 50.0: 6, 99.0: 10, 100.0: 10}
+    rng, rows = random.Random(7), []
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 9)) for _ in range(200)] + [("a", None)]
+    got = aggregates.nearest_rank(spark.createDataFrame(rows, "g string, v int"), "v", [1, 50, 90], ["g"]).collect()
+    of = {g: sorted(v for h, v in rows if h == g and v is not None) for g in ("a", "b", None)}
+    assert {(r.g, r.p): r.value for r in got} == {(g, float(p)): v[min(len(v) * p // 100, len(v) - 1)] for g, v in of.items() for p in (1, 50, 90)}
 
 
 def test_cdc(spark):
@@ -197,6 +226,14 @@ def test_cdc(spark):
     ledger = spark.createDataFrame([(1, "t", "a"), (2, "t", "b"), (4, "t", "b")], "version long, row_table string, row_pk string")
     assert [r.version for r in cdc.ledger_gaps(ledger, 0).collect()] == [4] and cdc.ledger_scan(ledger, 1).count() == 1
     assert cdc.retain(ledger, 4, 2)[0].count() == 1
+    writes = spark.createDataFrame([(8, "t", "b"), (3, "t", "a"), (8, "t", "b"), (8, "t", "a")], "txn int, row_table string, row_pk string")
+    start = ledger.withColumn("segment", F.lit(0).cast("long"))
+    assert sorted(map(tuple, cdc.ledger_append(start, writes, rotate=2).where("version > 4").collect())) == [(5, "t", "a", 1), (6, "t", "a", 2), (6, "t", "b", 2)]
+    assert sorted(r.version for r in cdc.ledger_append(start.limit(0), writes).collect()) == [1, 2, 2]
+    with pytest.raises(RequestError):
+        cdc.ledger_append(start, writes, most=3)
+    marked, floor = cdc.invalidate(start)
+    assert floor == 5 and marked.count() == 4 and cdc.ledger_scan(marked, 4).count() == 0
 
 
 def test_mutations(spark):
@@ -214,6 +251,18 @@ def test_mutations(spark):
     pushes = spark.createDataFrame([("c", 1, "u"), ("c", 2, "u"), ("c", 4, "u"), ("d", 1, "u"), ("e", 9, "v")], "client string, id long, user string")
     clients = spark.createDataFrame([("c", 1, "u"), ("e", 8, "u")], "client string, last_id long, user string")
     assert {(r.client, r.id, r.verdict) for r in mutations.preflight(pushes, clients).collect()} == {("c", 1, "replay"), ("c", 2, "apply"), ("c", 4, "gap"), ("d", 1, "apply"), ("e", 9, "forbidden")}
+    twice = spark.createDataFrame([(2, "m", 1), (2, "n", 2), (5, "b", 9), (5, "a", 8)], "k int, a string, at int")
+    assert get(mutations.upsert(t, twice, spec, "at")) == [(1, "x", "y"), (2, "n", "q"), (5, "b", None)]
+    assert get(mutations.insert(t, twice, spec, "at")) == [(1, "x", "y"), (2, "p", "q"), (5, "a", None)]
+    assert get(mutations.update(t, twice.drop("at"), spec)) == [(1, "x", "y"), (2, "n", "q")]
+    sent = spark.createDataFrame([(1, "c", 2), (2, "c", 9)], "seq long, client string, id long")
+    assert {tuple(r) for r in mutations.settle_in_order(sent, sent, clients).collect()} == {("c", 9), ("e", 8)}
+    for other in (sent.where("seq = 1"), sent.withColumn("seq", 3 - F.col("seq"))):
+        with pytest.raises(RequestError):
+            mutations.settle_in_order(sent, other, clients)
+    bodies = spark.createDataFrame([(1, 1, "c", 1, "a"), (1, 1, "c", 2, "tidy"), (2, 2, "c", 1, "a"), (3, 1, "c", 1, "a"), (3, 1, "c", 1, "b"), (4, 1, None, 1, "a"), (5, None, "c", 1, "a")], "push int, version int, client string, id long, name string")
+    good, problems = mutations.check_pushes(bodies, ("tidy",))
+    assert get(good) == [(1, "c", 1, "a")] and get(problems) == [(2, "unsupported version"), (3, "repeated id"), (4, "malformed mutation"), (5, "unsupported version")]
     acks = spark.createDataFrame([("c", 7), ("e", 3)], "client string, id long")
     assert {tuple(r) for r in mutations.settle_acks(acks, clients).collect()} == {("c", 7), ("e", 8)}
 
@@ -235,20 +284,23 @@ def test_values(spark):
 
 def test_sources_and_sinks(spark, catalog, tmp_path):
     out, after = [], None
-    for part in readers.pages(catalog, "issue", 4):
+    for part in readers.pages(catalog, "book", 4):
         out += [r.id for r in part.collect()]
-    assert out == ["i1", "i2", "i3", "i4", "i5", "i6"]
+    assert out == ALL
+    odd = ["a\\\\nb", "\x01", "x\\ty\\\\", "\\q\\\\\\n", "", "\\N", "\\\\N", "end\\"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", readers.unescape(F.col("x")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == ["a\\nb", "\x01", "x\ty\\", "q\\\n", "", None, "\\N", "end\\"]
     dump = tmp_path / "dump.sql"
     dump.write_text("SET x;\nCOPY public.t (a, \"b\") FROM stdin;\n1\tx\\ty\\\\n\n2\t\\N\n\\.\n\nCOPY u (c) FROM stdin;\nz\n\\.\n")
     tables = readers.copy_blocks(spark, str(dump))
     assert sorted(map(tuple, tables["t"].collect()), key=str) == [("1", "x\ty\\n"), ("2", None)] and [r.c for r in tables["u"].collect()] == ["z"]
     sinks.backup(catalog, str(tmp_path / "b"))
-    assert sorted(map(tuple, sinks.restore(spark, str(tmp_path / "b"))["label"].collect())) == [("l1", "red"), ("l2", "blue")]
+    assert sorted(map(tuple, sinks.restore(spark, str(tmp_path / "b"))["tag"].collect())) == [("t1", "amber"), ("t2", "slate")]
     logs = spark.createDataFrame([(i, "a" if i % 2 else "b", i % 4, "m") for i in range(10)], "id long, source string, priority int, message string")
     assert [r.id for r in readers.log_entries(logs, "a", 1, 2, 2).collect()] == [9, 5]
-    assert raw_sql(spark, catalog, "-- c\nSELECT count(*) AS n FROM issue").first().n == 6
+    assert raw_sql(spark, catalog, "-- c\nSELECT count(*) AS n FROM book").first().n == 7
     with pytest.raises(RequestError):
-        raw_sql(spark, catalog, "DROP TABLE issue")
+        raw_sql(spark, catalog, "DROP TABLE book")
 
 
 def test_history(spark):
@@ -324,4 +376,6 @@ def test_stream_ingest(spark, tmp_path):
         stream = spark.readStream.schema(spark.createDataFrame(log, schema).schema).parquet(str(tmp_path / "log"))
         ingest.ingest(stream, table, str(tmp_path / "cp")).awaitTermination(120)
     table.apply(spark.createDataFrame(log, schema))
+    written = table.log().count()
+    assert table.log().where("version > 0").groupBy("version").count().where("count > 3").isEmpty() and table.purge() > 0 and table.log().count() == written
     assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, cdc.apply(t, spark.createDataFrame(log, schema), ["k"]).collect())) == [(1, "a2"), (4, "d")]

@@ -31,5 +31,6 @@ def test_same_rows(name, spark, duck):
     got = QUERIES[name](spark, FOLDER)
     columns = sorted(got.columns)
     rows = sorted(tuple(map(cell, r)) for r in got.select(*columns).collect())
-    want = duck.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
+    names = ", ".join(f'"{c}"' for c in columns)
+    want = duck.sql(f"SELECT {names} FROM ({SQL[name]})").fetchall()
     assert rows == sorted(tuple(map(cell, r)) for r in want)

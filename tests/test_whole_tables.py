@@ -23,12 +23,12 @@ def rows(spark, name):
 
 def test_order(spark, tables):
     want = sorted(((r.o_orderkey, r.due) for r in tables["orders"]), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
-    assert want[-1][1] is None and rows(spark, "order_null_desc_whole") == want
+    assert want[-1][1] is None and rows(spark, "order_null_desc") == want
 
 
 def test_lists(spark, tables):
     n = Counter(r.l_orderkey for r in tables["lineitem"])
-    assert sorted(rows(spark, "related_empty_list_whole")) == sorted((r.o_orderkey, n[r.o_orderkey]) for r in tables["orders"])
+    assert sorted(rows(spark, "related_empty_list")) == sorted((r.o_orderkey, n[r.o_orderkey]) for r in tables["orders"])
 
 
 def test_junction(spark, tables):
@@ -37,7 +37,7 @@ def test_junction(spark, tables):
         if size.get(r.l_partkey, 0) > 10:
             of[r.l_orderkey].append((-size[r.l_partkey], r.l_partkey))
     want = [(r.o_orderkey, i + 1, -x[0]) for r in tables["orders"] for i, x in enumerate(sorted(of[r.o_orderkey])[:2])]
-    assert sorted(rows(spark, "related_junction_whole")) == sorted(want)
+    assert sorted(rows(spark, "related_junction")) == sorted(want)
 
 
 def test_visibility(spark, tables):
@@ -48,5 +48,5 @@ def test_visibility(spark, tables):
         read = reads[r.l_suppkey % 5]
         read[r.l_orderkey] = read.get(r.l_orderkey, False) or r.l_quantity > 25
     want = {(g, n, sum(read[k] for k in keys), len(keys)) for g, keys in effects.items() for n, read in reads.items() if keys <= read.keys() and 0 < sum(read[k] for k in keys) < len(keys)}
-    got = QUERIES["atomic_visibility_whole"](spark, FOLDER).select("g", "read", "seen", "effects").collect()
+    got = QUERIES["atomic_visibility"](spark, FOLDER).select("g", "read", "seen", "effects").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
