@@ -93,7 +93,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
     """Each batch with its rows' statistics, worked out over some MB of text at a time."""
     for batch in batches:
         data, offs = T.buffers(batch["text"])
-        parts = [statistics(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in T.spans(offs)]
+        parts = [statistics(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in T.spans(offs, 2 * T.CHUNK)]
         yield batch, np.concatenate(parts) if parts else np.empty((0, len(NAMES)))
 
 
