@@ -5,12 +5,12 @@ equal passages are sure to meet. Each window of ``min_len`` bytes elects one anc
 ``GRAM``-byte hash (leftmost of equals): equal windows elect equal anchors at equal offsets.
 1. Anchor hashes are counted over all texts (pre-aggregated in tasks, then summed).
 2. Occurrences of hashes that stand more than once are kept, each with a 128-bit hash of its block: all
-   bytes that its windows can reach. Equal blocks are repeats as a whole.
-3. Where an anchor has several distinct blocks, one of each is cut from its text and the bucket's
-   windows are put in suffix order. From the order, the LCP of neighbours and the previous and next
-   smaller text positions come the longest previous factor (LPF) and, mirrored, the longest next
-   factor of each suffix. A window is an earlier match's copy if its LPF reaches ``min_len``.
-4. A bucket takes up to ``GROUP`` distinct blocks of an anchor; an anchor with more (a passage in very
+   bytes that its windows can reach. Of equal blocks the first and the last occurrence go on and
+   stand for all, which have the last one's matches; so a block's copies are no load, however many.
+3. These blocks are cut from their texts and the windows of an anchor's bucket are put in suffix order.
+   From the order, the LCP of neighbours and the previous and next smaller text positions come the
+   longest previous factor (LPF) and, mirrored, the longest next factor of each suffix. A window is an earlier match's copy if its LPF reaches ``min_len``.
+4. A bucket takes up to ``GROUP`` of an anchor's blocks; an anchor with more (a passage in very
    many surroundings) is dealt into several buckets. Each leaves one window of those that are equal, its
    first, and these few of all buckets are matched by 128-bit window hashes over the cluster.
 Spans go back to their documents by (doc_id, text hash), where they are merged and cut out.
@@ -42,7 +42,7 @@ from .common import byte_batches, fresh, settle, sized
 MIN_LEN, GRAM = 200, 64
 #: Window starts handled at once; index bits below the hash in the election.
 STEP, BITS = (1 << 20) - 1024, 20
-#: Distinct blocks of one anchor in a bucket (0.7 MB of segments).
+#: Blocks of one anchor in a bucket (0.7 MB of segments).
 GROUP = 2048
 #: Suffixes put in order at once; more of one bucket are taken offset by offset, as equal ones share theirs.
 SUFFIXES = 1 << 16
@@ -152,6 +152,7 @@ def suffix_order(suffixes: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.
 
 OCCURRENCE = "doc_id long, h long, pos int, a long, b long, b2 long"
 BLOCK = ["a", "b", "b2"]
+SEGMENT = [*BLOCK, "later"]
 SPANS = "array<struct<s:int,e:int>>"
 
 
@@ -203,19 +204,25 @@ class Repeats:
         return settle(found.join(self.counted(), "a"), "occurrences")
 
     def segments(self, blocks: DataFrame) -> DataFrame:
-        """One segment for each distinct block of the anchors that have several: its bytes and its windows."""
+        """The first and the last occurrence of each block, of anchors with more than one such: its bytes and its windows."""
         min_len = self.min_len
         reach = min_len - GRAM
-        several = settle(blocks.groupBy("a").agg(F.count("*").alias("n_blocks")).where("n_blocks > 1"), "several")
+        # occurrences in one place are of repeated rows, which keep_first takes as one document
+        twice = F.col("first") != F.col("last") if self.keep_first else F.col("n") > 1
+        both = F.array(F.struct(F.lit(False).alias("later"), "first.*"), F.struct(F.lit(True).alias("later"), "last.*"))
+        blocks = blocks.select(*BLOCK, F.when(twice, both).otherwise(F.slice(both, 1, 1)).alias("places"))
+        several = settle(blocks.groupBy("a").agg(F.sum(F.size("places")).alias("n_blocks")).where("n_blocks > 1"), "several")
         hot = several.where(F.col("n_blocks") > GROUP)
         n = hot.count()  # an anchor's blocks aren't dealt out by the anchor where they are many
         asked = blocks.join(several.where(F.col("n_blocks") <= GROUP), "a")
         if n:
             asked = blocks.join(sized(hot.select("a"), n), "a", "left_anti").join(several, "a").unionByName(blocks.join(sized(hot, n), "a"))
         salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n_blocks") / GROUP)).cast("int")
-        asked = asked.select("first.doc_id", "first.h", F.struct("first.pos", *BLOCK, salt.alias("salt"), (F.col("n_blocks") > GROUP).alias("hot")).alias("x"))
-        asked = asked.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list("x").alias("asked"))  # at most the anchors of one text
-        once = self.texts.join(asked, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h"))).select("doc_id", "h", "text", "asked")
+        asked = asked.select(*BLOCK, salt.alias("salt"), (F.col("n_blocks") > GROUP).alias("hot"), F.explode("places").alias("place"))
+        asked = asked.groupBy(F.struct("place.doc_id", "place.h").alias("of")).agg(F.collect_list(F.struct("place.pos", *BLOCK, "place.later", "salt", "hot")).alias("asked"))  # at most the anchors of one text, twice
+        # a row that repeats would give equal segments, and its second would make the first's windows copies
+        once = self.texts.groupBy(F.struct("doc_id", "h").alias("of")).agg(F.first("text").alias("text"))
+        once = once.join(asked, "of").select("of.doc_id", "of.h", "text", "asked")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -234,27 +241,27 @@ class Repeats:
                     blob = [data[l:r].tobytes() for l, r in zip(left, right)]
                     pick, doc = pa.array(mine), pa.array(asked_row[mine])
                     yield pa.RecordBatch.from_arrays(
-                        [*(flat.field(c).take(pick) for c in (*BLOCK, "salt", "hot")), batch["doc_id"].take(doc), batch["h"].take(doc), pa.array(want_pos[mine]),
+                        [*(flat.field(c).take(pick) for c in (*SEGMENT, "salt", "hot")), batch["doc_id"].take(doc), batch["h"].take(doc), pa.array(want_pos[mine]),
                          pa.array((at - left).astype(np.int32)), pa.array(x.first[k].astype(np.int32)), pa.array(x.last[k].astype(np.int32)), pa.array(blob, pa.binary())],
-                        [*BLOCK, "salt", "hot", "doc_id", "h", "pos", "off", "w0", "w1", "bytes"],
+                        [*SEGMENT, "salt", "hot", "doc_id", "h", "pos", "off", "w0", "w1", "bytes"],
                     )
 
         byte_batches(self.spark)
-        kinds = "a long, b long, b2 long, salt int, hot boolean, doc_id long, h long, pos int, off int, w0 int, w1 int, bytes binary"
-        # a row that repeats gives equal segments, and its second would make the first's windows copies
-        return settle(once.mapInArrow(cut, kinds).distinct(), "segments")
+        kinds = "a long, b long, b2 long, later boolean, salt int, hot boolean, doc_id long, h long, pos int, off int, w0 int, w1 int, bytes binary"
+        return settle(once.mapInArrow(cut, kinds), "segments")
 
     def covers(self, segments: DataFrame) -> DataFrame:
-        """(a, b, b2, spans): the bytes of a block, from its anchor, that lie in repeated windows."""
+        """(a, b, b2, of_first, of_later): the spans of a block, from its anchor, that lie in repeated windows, in
+        its first occurrence and in all later ones."""
         min_len, keep_first = self.min_len, self.keep_first
         byte_batches(self.spark)
-        dealt = segments.repartition("a", "salt").sortWithinPartitions("a", "salt", "doc_id", "h", "pos")
-        found = settle(dealt.mapInArrow(bucket(min_len, keep_first), f"a long, b long, b2 long, spans {SPANS}, open array<int>"), "covers")
-        covers = found.where("size(spans) > 0").select(*BLOCK, "spans")
-        if segments.where("hot").isEmpty():
-            return covers
-        across = self.across(segments.where("hot").join(found.where("size(open) > 0").select(*BLOCK, "open"), BLOCK))
-        return covers.unionByName(across).groupBy(*BLOCK).agg(F.flatten(F.collect_list("spans")).alias("spans"))  # two lists of a block at most
+        dealt = segments.repartition("a", "salt").sortWithinPartitions("a", "salt", "doc_id", "h", "pos", "later")
+        found = settle(dealt.mapInArrow(bucket(min_len, keep_first), f"a long, b long, b2 long, later boolean, spans {SPANS}, open array<int>"), "covers")
+        covers = found.where("size(spans) > 0").select(*SEGMENT, "spans")
+        if not segments.where("hot").isEmpty():
+            covers = covers.unionByName(self.across(segments.where("hot").join(found.where("size(open) > 0").select(*SEGMENT, "open"), SEGMENT)))
+        of = {name: F.flatten(F.collect_list(F.when(kind, F.col("spans")))).alias(name) for name, kind in (("of_first", ~F.col("later")), ("of_later", F.col("later")))}
+        return covers.groupBy(*BLOCK).agg(*of.values())  # two lists of each at most
 
     def across(self, segments: DataFrame) -> DataFrame:
         """The spans of windows with an equal (earlier) one in another bucket of their anchor; ``open``: the
@@ -276,26 +283,25 @@ class Repeats:
                             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * up[: len(data)], dtype=np.uint64)])
                             keys.append(pa.array(T.mix((total[at + min_len] - total[at]) * down[at]).view(np.int64)))
                     pick = pa.array(seg)
-                    yield pa.RecordBatch.from_arrays([*(batch[c].take(pick) for c in (*BLOCK, "doc_id", "h", "pos")), pa.array(o.astype(np.int32)), *keys], [*BLOCK, "doc_id", "h", "pos", "o", "f", "g"])
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(pick) for c in (*SEGMENT, "doc_id", "h", "pos")), pa.array(o.astype(np.int32)), *keys], [*SEGMENT, "doc_id", "h", "pos", "o", "f", "g"])
 
-        rows = settle(segments.mapInArrow(suffixes, "a long, b long, b2 long, doc_id long, h long, pos int, o int, f long, g long"), "windows")
+        rows = settle(segments.mapInArrow(suffixes, "a long, b long, b2 long, later boolean, doc_id long, h long, pos int, o int, f long, g long"), "windows")
         place = F.struct("doc_id", "h", "pos")
         same = rows.groupBy("a", "o", "f", "g").agg(F.count("*").alias("n"), F.min(place).alias("least")).where("n > 1")
         hits = rows.join(same, ["a", "o", "f", "g"])  # a window comes once from each bucket at most
         if self.keep_first:
             hits = hits.where(place != F.col("least"))
-        return hits.groupBy(*BLOCK).agg(F.collect_list(F.struct(F.col("o").alias("s"), (F.col("o") + min_len).alias("e"))).alias("spans"))  # at most one for each window of a block
+        return hits.groupBy(*SEGMENT).agg(F.collect_list(F.struct(F.col("o").alias("s"), (F.col("o") + min_len).alias("e"))).alias("spans"))  # at most one for each window of a block
 
     def spans(self) -> DataFrame:
         """of, of_h and the (unmerged) spans of each text that loses bytes."""
         found = self.occurrences()
-        blocks = settle(found.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "h", "pos")).alias("first")), "blocks")
+        place = F.struct("doc_id", "h", "pos")
+        blocks = settle(found.groupBy(*BLOCK).agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(place).alias("last")), "blocks")
         covers = self.covers(self.segments(blocks))
         # written down, so both sides of the next join are shuffled for it and a hot block's rows can be split
-        known = settle(blocks.join(covers, BLOCK, "left").where("n > 1 OR spans IS NOT NULL"), "known")
-        whole = F.array(F.struct(F.lit(GRAM - self.min_len).alias("s"), F.lit(self.min_len).alias("e")))
-        copy = (F.struct("doc_id", "h", "pos") != F.col("first")) if self.keep_first else F.col("n") > 1
-        rows = found.join(known, BLOCK).withColumn("spans", F.when(copy, whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
+        known = settle(blocks.join(covers, BLOCK), "known")
+        rows = found.join(known, BLOCK).withColumn("spans", F.when(place == F.col("first"), F.col("of_first")).otherwise(F.col("of_later"))).where("size(spans) > 0")
         moved = F.transform("spans", lambda x: F.struct((x["s"] + F.col("pos")).alias("s"), (x["e"] + F.col("pos")).alias("e")))
         rows = rows.select("doc_id", "h", moved.alias("spans"))
         return rows.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.flatten(F.collect_set("spans")).alias("cuts"))  # at most the windows of one text, however often its row stands
@@ -325,7 +331,7 @@ def bucket(min_len: int, keep_first: bool):
             parts = np.split(by_offset, np.flatnonzero(np.diff(o[by_offset])) + 1)
         before, hits = [], []
         for part in parts:
-            # segments stand in order of bucket, then first place in the texts: so does each suffix within its group
+            # segments stand in order of bucket, then place in the texts: so does each suffix within its group
             order, lcp = suffix_order(view[start[part]], part)
             pos = part[order]
             hit = longest_previous_factors(pos, lcp) >= min_len
@@ -338,7 +344,7 @@ def bucket(min_len: int, keep_first: bool):
         spans, offsets = (np.split(x, np.searchsorted(seg[x], np.arange(1, batch.num_rows))) for x in (np.sort(np.concatenate(hits)), open_))
         kinds = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.int32())
         spans = pa.array([[{"s": s, "e": e} for s, e in merged(o[x], o[x] + min_len)] for x in spans], kinds[0])
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in BLOCK), spans, pa.array([o[x] for x in offsets], kinds[1])], [*BLOCK, "spans", "open"])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in SEGMENT), spans, pa.array([o[x] for x in offsets], kinds[1])], [*SEGMENT, "spans", "open"])
 
     def solved(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole buckets: each of a hot anchor by itself, as buckets of one anchor don't stand in the order of places."""
