@@ -8,6 +8,8 @@ equal passages are sure to meet. Each window of ``min_len`` bytes elects one anc
    bytes that its windows can reach. Of equal blocks the first and the last occurrence go on and
    stand for all, which have the last one's matches; so a block's copies are no load, however many.
 3. These blocks are cut from their texts and the windows of an anchor's bucket are put in suffix order.
+   Blocks without another of their anchor mostly follow each other in copied texts: where the first and the
+   last occurrences keep their distance, they are cut as one stretch each, whose bytes so go out once.
    From the order, the LCP of neighbours and the previous and next smaller text positions come the
    longest previous factor (LPF) and, mirrored, the longest next factor of each suffix. A window is an earlier match's copy if its LPF reaches ``min_len``.
 4. A bucket takes up to ``GROUP`` of an anchor's blocks; an anchor with more (a passage in very
@@ -44,8 +46,10 @@ MIN_LEN, GRAM = 200, 64
 STEP, BITS = (1 << 20) - 1024, 20
 #: Blocks of one anchor in a bucket (0.7 MB of segments).
 GROUP = 2048
-#: Suffixes put in order at once; more of one bucket are taken offset by offset, as equal ones share theirs.
+#: Suffixes put in order at once; twice as many of one bucket are taken offset by offset, as equal ones share theirs.
 SUFFIXES = 1 << 16
+#: Anchors of a stretch; a longer copy takes several.
+STRETCH = 128
 BYTE_2 = T.seeds(256, 7)
 
 
@@ -211,15 +215,18 @@ class Repeats:
         twice = F.col("first") != F.col("last") if self.keep_first else F.col("n") > 1
         both = F.array(F.struct(F.lit(False).alias("later"), "first.*"), F.struct(F.lit(True).alias("later"), "last.*"))
         blocks = blocks.select(*BLOCK, F.when(twice, both).otherwise(F.slice(both, 1, 1)).alias("places"))
-        several = settle(blocks.groupBy("a").agg(F.sum(F.size("places")).alias("n_blocks")).where("n_blocks > 1"), "several")
+        several = settle(blocks.groupBy("a").agg(F.sum(F.size("places")).alias("n_blocks"), (F.count("*") == 1).alias("alone")).where("n_blocks > 1"), "several")
         hot = several.where(F.col("n_blocks") > GROUP)
         n = hot.count()  # an anchor's blocks aren't dealt out by the anchor where they are many
         asked = blocks.join(several.where(F.col("n_blocks") <= GROUP), "a")
         if n:
             asked = blocks.join(sized(hot.select("a"), n), "a", "left_anti").join(several, "a").unionByName(blocks.join(sized(hot, n), "a"))
         salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n_blocks") / GROUP)).cast("int")
-        asked = asked.select(*BLOCK, salt.alias("salt"), (F.col("n_blocks") > GROUP).alias("hot"), F.explode("places").alias("place"))
-        asked = asked.groupBy(F.struct("place.doc_id", "place.h").alias("of")).agg(F.collect_list(F.struct("place.pos", *BLOCK, "place.later", "salt", "hot")).alias("asked"))  # at most the anchors of one text, twice
+        # copies at one distance in one pair of texts; null where the anchor has other blocks
+        one, two = F.col("places")[0], F.col("places")[1]
+        link = F.when(F.col("alone"), F.xxhash64(one["doc_id"], one["h"], two["doc_id"], two["h"], two["pos"] - one["pos"]))
+        asked = asked.select(*BLOCK, salt.alias("salt"), (F.col("n_blocks") > GROUP).alias("hot"), link.alias("link"), F.explode("places").alias("place"))
+        asked = asked.groupBy(F.struct("place.doc_id", "place.h").alias("of")).agg(F.collect_list(F.struct("place.pos", *BLOCK, "place.later", "salt", "hot", "link")).alias("asked"))  # at most the anchors of one text, twice
         # a row that repeats would give equal segments, and its second would make the first's windows copies
         once = self.texts.groupBy(F.struct("doc_id", "h").alias("of")).agg(F.first("text").alias("text"))
         once = once.join(asked, "of").select("of.doc_id", "of.h", "text", "asked")
@@ -231,23 +238,40 @@ class Repeats:
                 asked_row = np.repeat(np.arange(batch.num_rows), n_asked)
                 flat = lists.flatten()
                 want_pos = flat.field("pos").to_numpy()
+                later = flat.field("later").to_numpy(zero_copy_only=False)
+                alone = flat.field("link").is_valid().to_numpy(zero_copy_only=False)
+                link = flat.field("link").fill_null(0).to_numpy()
                 for i, j, data, offs in spans_of(batch):
                     x = Anchors(data, offs, min_len, blocks=False)
                     mine = np.flatnonzero((asked_row >= i) & (asked_row < j))
-                    at = offs[asked_row[mine] - i] + want_pos[mine]
+                    if not len(mine):
+                        continue
+                    mine = mine[np.lexsort((want_pos[mine], later[mine], link[mine], alone[mine], asked_row[mine]))]
+                    row, pos = asked_row[mine] - i, want_pos[mine].astype(np.int64)
+                    at = offs[row] + pos
                     k = np.searchsorted(x.at, at)
-                    row = asked_row[mine] - i
-                    left, right = np.maximum(offs[row], at - reach), np.minimum(offs[row + 1], at + min_len)
+                    # both sides of a copy part into stretches at the same anchors, as their distance is one
+                    new = np.ones(len(mine), bool)
+                    new[1:] = ~alone[mine[1:]] | (np.diff(row) != 0) | (np.diff(alone[mine]) != 0) | (link[mine[1:]] != link[mine[:-1]]) | (later[mine[1:]] != later[mine[:-1]])
+                    new[1:] |= np.diff(pos) > reach + min_len
+                    begin = np.flatnonzero(new)
+                    new |= (np.arange(len(mine)) - np.repeat(begin, np.diff(np.append(begin, len(mine))))) % STRETCH == 0
+                    begin = np.flatnonzero(new)
+                    end = np.append(begin[1:], len(mine))
+                    left, right = np.maximum(offs[row[begin]], at[begin] - reach), np.minimum(offs[row[begin] + 1], at[end - 1] + min_len)
                     blob = [data[l:r].tobytes() for l, r in zip(left, right)]
-                    pick, doc = pa.array(mine), pa.array(asked_row[mine])
+                    off = at - np.repeat(left, end - begin)
+                    pick, head, doc = pa.array(mine), pa.array(mine[begin]), pa.array(asked_row[mine[begin]])
+                    places = [pa.array(c.astype(np.int32)) for c in (off, x.first[k], x.last[k])]
+                    anchors = pa.StructArray.from_arrays([*(flat.field(c).take(pick) for c in BLOCK), *places], [*BLOCK, "off", "w0", "w1"])
                     yield pa.RecordBatch.from_arrays(
-                        [*(flat.field(c).take(pick) for c in (*SEGMENT, "salt", "hot")), batch["doc_id"].take(doc), batch["h"].take(doc), pa.array(want_pos[mine]),
-                         pa.array((at - left).astype(np.int32)), pa.array(x.first[k].astype(np.int32)), pa.array(x.last[k].astype(np.int32)), pa.array(blob, pa.binary())],
-                        [*SEGMENT, "salt", "hot", "doc_id", "h", "pos", "off", "w0", "w1", "bytes"],
+                        [*(flat.field(c).take(head) for c in ("a", "later", "salt", "hot")), batch["doc_id"].take(doc), batch["h"].take(doc), pa.array(want_pos[mine[begin]]),
+                         pa.ListArray.from_arrays(pa.array(np.append(begin, len(mine)).astype(np.int32)), anchors), pa.array(blob, pa.binary())],
+                        ["a", "later", "salt", "hot", "doc_id", "h", "pos", "anchors", "bytes"],
                     )
 
         byte_batches(self.spark)
-        kinds = "a long, b long, b2 long, later boolean, salt int, hot boolean, doc_id long, h long, pos int, off int, w0 int, w1 int, bytes binary"
+        kinds = "a long, later boolean, salt int, hot boolean, doc_id long, h long, pos int, anchors array<struct<a:long,b:long,b2:long,off:int,w0:int,w1:int>>, bytes binary"
         return settle(once.mapInArrow(cut, kinds), "segments")
 
     def covers(self, segments: DataFrame) -> DataFrame:
@@ -259,7 +283,8 @@ class Repeats:
         found = settle(dealt.mapInArrow(bucket(min_len, keep_first), f"a long, b long, b2 long, later boolean, spans {SPANS}, open array<int>"), "covers")
         covers = found.where("size(spans) > 0").select(*SEGMENT, "spans")
         if not segments.where("hot").isEmpty():
-            covers = covers.unionByName(self.across(segments.where("hot").join(found.where("size(open) > 0").select(*SEGMENT, "open"), SEGMENT)))
+            hot = segments.where("hot").select(F.inline("anchors"), "later", "doc_id", "h", "pos", "bytes")
+            covers = covers.unionByName(self.across(hot.join(found.where("size(open) > 0").select(*SEGMENT, "open"), SEGMENT)))
         of = {name: F.flatten(F.collect_list(F.when(kind, F.col("spans")))).alias(name) for name, kind in (("of_first", ~F.col("later")), ("of_later", F.col("later")))}
         return covers.groupBy(*BLOCK).agg(*of.values())  # two lists of each at most
 
@@ -307,24 +332,26 @@ class Repeats:
         return rows.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.flatten(F.collect_set("spans")).alias("cuts"))  # at most the windows of one text, however often its row stands
 
 
-def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All rows of ``min_len`` bytes of the batch's segments (a view), and of each window that elected its
-    segment's anchor its row, its segment and its offset from the anchor."""
+def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All rows of ``min_len`` bytes of the batch's segments (a view), their anchors with the row of each, and of
+    each window that elected an anchor its row in the view, its anchor and its offset from that."""
     data, offs = T.buffers(batch["bytes"])
-    off, w0, w1 = (batch[c].to_numpy().astype(np.int64) for c in ("off", "w0", "w1"))
+    of = np.repeat(np.arange(batch.num_rows), batch["anchors"].value_lengths().to_numpy(zero_copy_only=False))
+    anchors = batch["anchors"].flatten()
+    off, w0, w1 = (anchors.field(c).to_numpy().astype(np.int64) for c in ("off", "w0", "w1"))
     n = w1 - w0 + 1
     seg = np.repeat(np.arange(len(n)), n)
     o = w0[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
     view = np.lib.stride_tricks.sliding_window_view(data, min_len) if len(data) >= min_len else np.empty((0, min_len), np.uint8)
-    return view, offs[seg] + off[seg] + o, seg, o
+    return view, anchors, of, offs[of[seg]] + off[seg] + o, seg, o
 
 
 def bucket(min_len: int, keep_first: bool):
     """Suffix order and LPF over whole buckets of segments that share an anchor, some buckets at a time."""
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        view, start, seg, o = windows_of(batch, min_len)
-        if len(seg) <= SUFFIXES:
+        view, anchors, of, start, seg, o = windows_of(batch, min_len)
+        if len(seg) <= 2 * SUFFIXES:
             parts = [np.arange(len(seg))]
         else:
             by_offset = np.argsort(o, kind="stable")
@@ -339,17 +366,27 @@ def bucket(min_len: int, keep_first: bool):
             if not keep_first:
                 hit |= longest_previous_factors(-pos, lcp) >= min_len
             hits.append(pos[hit])
-        hot = np.flatnonzero(batch["hot"].to_numpy(zero_copy_only=False)[seg])
+        hot = np.flatnonzero(batch["hot"].to_numpy(zero_copy_only=False)[of[seg]])
         open_ = np.setdiff1d(hot, np.concatenate(before)) if len(hot) else hot
-        spans, offsets = (np.split(x, np.searchsorted(seg[x], np.arange(1, batch.num_rows))) for x in (np.sort(np.concatenate(hits)), open_))
-        kinds = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])), pa.list_(pa.int32())
-        spans = pa.array([[{"s": s, "e": e} for s, e in merged(o[x], o[x] + min_len)] for x in spans], kinds[0])
-        return pa.RecordBatch.from_arrays([*(batch[c] for c in SEGMENT), spans, pa.array([o[x] for x in offsets], kinds[1])], [*SEGMENT, "spans", "open"])
+        # an anchor's windows all overlap, as their offsets are less than min_len apart: so their union is one span
+        hits = np.sort(np.concatenate(hits))
+        first = np.flatnonzero(np.diff(seg[hits], prepend=-1))
+        last = np.append(first[1:], len(hits))[: len(first)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(o[hits[first]].astype(np.int32)), pa.array((o[hits[last]] + min_len).astype(np.int32))], ["s", "e"])
+        every = np.arange(len(of) + 1)
+        lists = [pa.ListArray.from_arrays(pa.array(np.searchsorted(seg[x], every).astype(np.int32)), v) for x, v in ((hits[first], spans), (open_, pa.array(o[open_].astype(np.int32))))]
+        return pa.RecordBatch.from_arrays([*(anchors.field(c) for c in BLOCK), batch["later"].take(pa.array(of)), *lists], [*SEGMENT, "spans", "open"])
 
     def solved(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Whole buckets: each of a hot anchor by itself, as buckets of one anchor don't stand in the order of places."""
+        """Whole buckets, of ``SUFFIXES`` suffixes or some more: each of a hot anchor by itself, as buckets of one
+        anchor don't stand in the order of places."""
         hot = rows["hot"].to_numpy(zero_copy_only=False)[starts]
-        cuts = starts[np.flatnonzero(hot | np.concatenate([[True], hot[:-1]]))]
+        lists = rows["anchors"]
+        flat = lists.flatten()
+        total = np.append(0, np.cumsum(flat.field("w1").to_numpy().astype(np.int64) - flat.field("w0").to_numpy() + 1))
+        ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+        full = total[ends[starts]] // SUFFIXES
+        cuts = starts[np.flatnonzero(hot | np.concatenate([[True], hot[:-1] | (full[1:] != full[:-1])]))]
         for i, j in zip(cuts, np.append(cuts[1:], rows.num_rows)):
             yield solve(rows.slice(i, j - i))
 

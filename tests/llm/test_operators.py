@@ -468,10 +468,11 @@ def test_repeats(documents, empty):
     assert suffix_dedup.repeat_digest(empty).count() == 0
 
 
-@pytest.mark.parametrize("group", [2048, 3])
-def test_first_copies_stay(spark, texts, group, monkeypatch):
-    """Whole anchors in one bucket, and anchors dealt into several, give the same cuts."""
+@pytest.mark.parametrize("group, stretch", [(2048, 128), (3, 2)])
+def test_first_copies_stay(spark, texts, group, stretch, monkeypatch):
+    """Whole anchors in one bucket and anchors dealt into several, long and short stretches give the same cuts."""
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", stretch)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     by_text = {r.text: r.h for r in docs.select("text", suffix_dedup.F.xxhash64("text").alias("h")).collect()}
     for keep_first in (True, False):
