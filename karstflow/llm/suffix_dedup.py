@@ -207,6 +207,16 @@ class Repeats:
         found = self.texts.select("doc_id", "h", "text").mapInArrow(find, OCCURRENCE)
         return settle(found.join(self.counted(), "a"), "occurrences")
 
+    def asked_texts(self, asked: DataFrame) -> DataFrame:
+        """doc_id, h, text and the list ``asked`` of all that is asked of the text (by doc_id, h)."""
+        # plain columns of one form on both sides and no nulls: a text is shuffled once, for the grouping and the join
+        by = (F.coalesce("doc_id", F.lit(0).cast("long")).alias("of"), F.isnull("doc_id").alias("no_id"), F.col("h"))
+        keys = ["of", "no_id", "h"]
+        lists = asked.select(*by, "asked").groupBy(*keys).agg(F.collect_list("asked").alias("asked"))  # at most the anchors of one text, twice
+        # a row that repeats would give equal segments, and its second would make the first's windows copies
+        once = self.texts.select(*by, "text").groupBy(*keys).agg(F.first("text").alias("text"))
+        return once.join(lists, keys).select(F.when(~F.col("no_id"), F.col("of")).alias("doc_id"), "h", "text", "asked")
+
     def segments(self, blocks: DataFrame) -> DataFrame:
         """The first and the last occurrence of each block, of anchors with more than one such: its bytes and its windows."""
         min_len = self.min_len
@@ -226,10 +236,7 @@ class Repeats:
         one, two = F.col("places")[0], F.col("places")[1]
         link = F.when(F.col("alone"), F.xxhash64(one["doc_id"], one["h"], two["doc_id"], two["h"], two["pos"] - one["pos"]))
         asked = asked.select(*BLOCK, salt.alias("salt"), (F.col("n_blocks") > GROUP).alias("hot"), link.alias("link"), F.explode("places").alias("place"))
-        asked = asked.groupBy(F.struct("place.doc_id", "place.h").alias("of")).agg(F.collect_list(F.struct("place.pos", *BLOCK, "place.later", "salt", "hot", "link")).alias("asked"))  # at most the anchors of one text, twice
-        # a row that repeats would give equal segments, and its second would make the first's windows copies
-        once = self.texts.groupBy(F.struct("doc_id", "h").alias("of")).agg(F.first("text").alias("text"))
-        once = once.join(asked, "of").select("of.doc_id", "of.h", "text", "asked")
+        once = self.asked_texts(asked.select("place.doc_id", "place.h", F.struct("place.pos", *BLOCK, "place.later", "salt", "hot", "link").alias("asked")))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

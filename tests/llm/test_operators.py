@@ -497,6 +497,28 @@ def test_repeated_rows_keep_a_first_copy(spark, group, monkeypatch):
     assert [i for i in sorted(left) if passage in left[i]] == [3]
 
 
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    """The texts that segments are cut from are grouped and joined in one shuffle; null ids keep their texts apart from id 0."""
+    passage = sentence(random.Random(4), 60)
+    rows = [(None, passage + " one"), (0, passage + " two"), (0, passage + " two"), (0, passage + " one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, real = [], suffix_dedup.settle
+    monkeypatch.setattr(suffix_dedup, "settle", lambda df, name: (name == "segments" and plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    monkeypatch.setattr(suffix_dedup, "sized", lambda df, rows: df)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = suffix_dedup.repeat_digest(docs, 200, True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    texts = re.split(r"\n +\+- Sort(?:Aggregate|MergeJoin)?.*asked|\n +\+- ObjectHashAggregate", plans[0])[0]  # the plan begins with the texts' side of the join
+    assert texts.count("partial_first") == 1 and texts.count("Exchange hashpartitioning") == 1, plans[0]
+    by_text = {r.text: r.h for r in docs.select("text", suffix_dedup.F.xxhash64("text").alias("h")).collect()}
+    once = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, by_text[r[1]]))
+    want = dict(zip(once, cuts([(n, t.encode()) for n, (_, t) in enumerate(once)], 200, True)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *want[i, t]) for i, t in rows)
+
+
 def test_without_repeats(spark, documents):
     docs = odd(spark, documents)
     out = suffix_dedup.without_repeats(docs)
