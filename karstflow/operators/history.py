@@ -6,15 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Events of a task, so that its memory doesn't grow with the history.
+ROWS = 1 << 17
+
+
+def spread(events: DataFrame, n: int, by: str) -> DataFrame:
+    """``events`` (``n`` rows) dealt by a column to a number of partitions that grows with them."""
+    return events.repartition(-(-n // ROWS) or 1, by)
+
+
 def validate(events: DataFrame) -> DataFrame:
     """(index, problem) of a history (index, time, process, type, kind): indexes are dense from 0, times don't
     fall, a process has one operation open at most, and each invoke ends in one ok, fail or info of its kind."""
+    n = events.count()
+    return order_problems(events, n).unionByName(operation_problems(spread(events, n, "process")))
+
+
+def order_problems(events: DataFrame, n: int) -> DataFrame:
+    """(index, problem) of ``n`` events (index, time)."""
     # dense indexes make the order checks local: each event meets its predecessor by an equi-join, not in one task
-    before = events.select((F.col("index") + 1).alias("index"), F.col("time").alias("before"))
-    paired = events.join(before, "index", "left")
-    gap = paired.where("before IS NULL AND index <> 0").select("index", F.lit("gap in indexes").alias("problem"))
-    back = paired.where("time < before").select("index", F.lit("time goes back").alias("problem"))
-    twice = events.groupBy("index").count().where("count > 1").select("index", F.lit("index repeats").alias("problem"))
+    before = spread(events.select((F.col("index") + 1).alias("index"), F.col("time").alias("before")), n, "index")
+    paired = spread(events.select("index", "time"), n, "index").join(before.hint("merge"), "index", "left")
+    problem = F.when(F.col("before").isNull() & (F.col("index") != 0), "gap in indexes").when(F.col("time") < F.col("before"), "time goes back")
+    same = Window.partitionBy("index").orderBy("index")
+    twice = spread(events.select("index"), n, "index").withColumn("nth", F.row_number().over(same)).where("nth = 2")
+    return paired.select("index", problem.alias("problem")).where("problem IS NOT NULL").unionByName(twice.select("index", F.lit("index repeats").alias("problem")))
+
+
+def operation_problems(events: DataFrame) -> DataFrame:
+    """(index, problem) of events (index, process, type, kind), dealt by process."""
     own = Window.partitionBy("process").orderBy("index")
     steps = events.withColumns({"was": F.lag("type").over(own), "was_kind": F.lag("kind").over(own), "next": F.lead("type").over(own)})
     ends = F.col("type") != "invoke"
@@ -23,8 +43,8 @@ def validate(events: DataFrame) -> DataFrame:
         .when(ends & (F.col("was").isNull() | (F.col("was") != "invoke")), "end without an invoke")
         .when(ends & (F.col("was_kind") != F.col("kind")), "end of another kind")
     )
-    open_ = steps.where(~ends & (F.col("next").isNull() | (F.col("next") == "invoke"))).select("index", F.lit("invoke without an end").alias("problem"))
-    return gap.unionByName(back).unionByName(twice).unionByName(open_).unionByName(steps.select("index", problem.alias("problem")).where("problem IS NOT NULL"))
+    open_ = F.when(~ends & (F.col("next").isNull() | (F.col("next") == "invoke")), "invoke without an end")
+    return steps.select("index", F.explode(F.array(open_, problem)).alias("problem")).where("problem IS NOT NULL")
 
 
 def monotonic(snapshots: DataFrame, by: list[str], value: str, order: str) -> DataFrame:

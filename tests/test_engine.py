@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -317,6 +318,36 @@ def test_history(spark):
     assert [r.version for r in history.permission_leaks(reads, grants).collect()] == [5]
 
 
+def test_history_is_checked_in_small_tasks(spark, monkeypatch):
+    """However long the history, a task takes some ``ROWS`` events; odd histories give the problems that brute force finds."""
+    monkeypatch.setattr(history, "ROWS", 50, raising=False)
+    rng = random.Random(5)
+    # gaps, repeated indexes (never of one process) and falling times
+    events = [(i, i * 10 + rng.choice([0, 0, 25]), f"p{copy}{rng.randrange(6)}", rng.choice(["invoke", "ok", "fail"]), rng.choice("ab")) for i in range(1000) if i % 97 for copy in range(1 + (i % 50 == 3))]
+    df = spark.createDataFrame(events, "index long, time long, process string, type string, kind string")
+    want, seen, last = Counter(), defaultdict(list), {}
+    for i, t, *_ in events:
+        seen[i].append(t)
+    for i, times in seen.items():
+        want[i, "index repeats"] += len(times) > 1
+        want[i, "gap in indexes"] += len(times) * (i != 0 and i - 1 not in seen)
+        want[i, "time goes back"] += sum(t < b for t in times for b in seen.get(i - 1, []))
+    for i, _, p, kind_of, kind in events:
+        was = last.get(p)
+        if kind_of == "invoke":
+            want[i, "invoke while another is open"] += was is not None and was[1] == "invoke"
+        else:
+            want[i, "end without an invoke" if was is None or was[1] != "invoke" else "end of another kind"] += was is None or was[1] != "invoke" or was[2] != kind
+        if was is not None and was[1] == "invoke" and kind_of == "invoke":
+            want[was[0], "invoke without an end"] += 1
+        last[p] = (i, kind_of, kind)
+    for i, kind_of, _ in last.values():
+        want[i, "invoke without an end"] += kind_of == "invoke"
+    found = history.validate(df)
+    assert Counter(tuple(r) for r in found.collect()) == +want
+    assert found.rdd.getNumPartitions() >= 3 * len(events) // 50
+
+
 def test_windows(spark):
     e = spark.createDataFrame([("a", 0, 5.0), ("a", 1500, 5.0), ("a", 9000, 1.0), ("b", 0, 1.0)], "g string, ms long, x double")
     rolling = budget.rolling_sum(e, ["g"], "ms", "x", 3000)
