@@ -7,7 +7,8 @@ equal passages are sure to meet. Each window of ``min_len`` bytes elects one anc
 2. Occurrences of hashes that stand more than once are kept, each with a 128-bit hash of its block: all
    bytes that its windows can reach. Of equal blocks the first and the last occurrence go on and
    stand for all, which have the last one's matches; so a block's copies are no load, however many.
-3. These blocks are cut from their texts and the windows of an anchor's bucket are put in suffix order.
+3. These blocks are cut from their texts and the windows of an anchor's bucket are put in suffix order: by anchor
+   and offset, as only those of one offset can be equal, then by bytes. LCPs come along runs of the text.
    Blocks without another of their anchor mostly follow each other in copied texts: where the first and the
    last occurrences keep their distance, they are cut as one stretch each, whose bytes so go out once.
    From the order, the LCP of neighbours and the previous and next smaller text positions come the
@@ -42,12 +43,14 @@ from . import text as T
 from .common import byte_batches, fresh, settle, sized
 
 MIN_LEN, GRAM = 200, 64
-#: Window starts handled at once; index bits below the hash in the election.
-STEP, BITS = (1 << 20) - 1024, 20
+#: Window starts handled at once (their arrays stay in the cache); index bits below the hash in the election.
+STEP, BITS = 1 << 17, 20
 #: Blocks of one anchor in a bucket (0.7 MB of segments).
 GROUP = 2048
 #: Suffixes put in order at once; twice as many of one bucket are taken offset by offset, as equal ones share theirs.
 SUFFIXES = 1 << 16
+#: Bytes of suffixes compared with others at once.
+COMPARED = 1 << 18
 #: Anchors of a stretch; a longer copy takes several.
 STRETCH = 128
 BYTE_2 = T.seeds(256, 7)
@@ -122,35 +125,70 @@ def spans_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
-def neighbours(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+def neighbours(pos: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
     """For suffixes in order with text positions ``pos`` and ``lcp`` with the one before: the LCP with the
-    nearest one before in order that has a smaller position (0: none). Links jump over links until all fit."""
-    before, shared = np.arange(len(pos)) - 1, lcp.copy()
+    nearest one before in order that has a smaller position (0: none, or under ``least``). Links jump over links
+    until all fit; as an LCP only shrinks on the way, those that share less than ``least`` have no need to go on."""
+    before, shared = np.arange(len(pos)) - 1, np.where(lcp >= least, lcp, 0)
     shared[:1] = 0
-    while len(bad := np.flatnonzero((before >= 0) & (pos[before] > pos))):
+    bad = np.flatnonzero(shared)
+    while len(bad := bad[(shared[bad] > 0) & (pos[before[bad]] > pos[bad])]):
         over = before[bad]
         shared[bad] = np.minimum(shared[bad], shared[over])
         before[bad] = before[over]
-    shared[before < 0] = 0
     return shared
 
 
-def longest_previous_factors(pos: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """LPF of suffixes in order: the longest prefix that also starts at a smaller text position."""
+def longest_previous_factors(pos: np.ndarray, lcp: np.ndarray, least: int = 1) -> np.ndarray:
+    """LPF of suffixes in order: the longest prefix that also starts at a smaller text position (0 if under ``least``)."""
     after = np.append(lcp[1:], 0)[::-1]
-    return np.maximum(neighbours(pos, lcp), neighbours(pos[::-1], after)[::-1])
-
-
-def suffix_order(suffixes: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of suffixes (rows of equal length, ties by position) and each one's LCP with the one before."""
-    by_pos = np.argsort(pos, kind="stable")
-    order = by_pos[np.argsort(np.ascontiguousarray(suffixes[by_pos]).view(f"S{suffixes.shape[1]}").ravel(), kind="stable")]
+    return np.maximum(neighbours(pos, lcp, least), neighbours(pos[::-1], after, least)[::-1])
+
+
+def common_prefixes(data: np.ndarray, x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """The LCP, ``width`` at most, of the suffixes at x and at y. Suffixes that follow each other at one distance
+    share their bytes (so an LCP is at most one shorter than that of the suffix before): each is compared once."""
+    out = np.empty(len(x), np.int64)
+    if not len(x):
+        return out
+    by = np.argsort((y - x) * (len(data) + 1) + x)
+    x, apart = x[by], (y - x)[by]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(apart) != 0) | (np.diff(x) > width)]))
+    last = np.append(first[1:], len(x))
+    size = x[last - 1] + width - x[first]
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // COMPARED, prepend=-1)).tolist()
+    for i, j in zip(cuts, [*cuts[1:], len(first)]):
+        n, rows = size[i:j], slice(first[i], last[j - 1])
+        shift = x[first[i:j]] - (np.cumsum(n) - n)
+        at = np.arange(n.sum()) + np.repeat(shift, n)
+        differs = np.append(np.flatnonzero(data[at] != data[at + np.repeat(apart[first[i:j]], n)]), len(at) + width)
+        here = x[rows] - np.repeat(shift, last[i:j] - first[i:j])
+        out[by[rows]] = np.minimum(differs[np.searchsorted(differs, here)] - here, width)
+    return out
+
+
+def suffix_order(data: np.ndarray, start: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (``width`` bytes from ``start``, given by position) by group, bytes and position, and
+    each one's LCP with the one before of its group (0 for the first)."""
+    order = np.argsort(group, kind="stable")
+    held = group[order]
+    new = np.diff(held, prepend=-1) != 0
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    more = np.flatnonzero(np.repeat(size > 2, size))
+    if len(more):
+        rows = np.lib.stride_tricks.sliding_window_view(data, width)[start[order[more]]]
+        by = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+        order[more] = order[more][by[np.argsort(held[more][by], kind="stable")]]
     lcp = np.zeros(len(order), np.int64)
-    step = max(1, (16 << 20) // suffixes.shape[1])
-    for i in range(1, len(order), step):
-        j = min(len(order), i + step)
-        differs = suffixes[order[i:j]] != suffixes[order[i - 1 : j - 1]]
-        lcp[i:j] = np.where(differs.any(axis=1), differs.argmax(axis=1), suffixes.shape[1])
+    rest = np.flatnonzero(~new)
+    lcp[rest] = common_prefixes(data, start[order[rest - 1]], start[order[rest]], width)
+    # the first byte that differs orders a group of two
+    two = first[size == 2]
+    two = two[lcp[two + 1] < width]
+    x, y = order[two], order[two + 1]
+    turned = data[start[y] + lcp[two + 1]] < data[start[x] + lcp[two + 1]]
+    order[two[turned]], order[two[turned] + 1] = y[turned], x[turned]
     return order, lcp
 
 
@@ -339,9 +377,9 @@ class Repeats:
         return rows.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.flatten(F.collect_set("spans")).alias("cuts"))  # at most the windows of one text, however often its row stands
 
 
-def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All rows of ``min_len`` bytes of the batch's segments (a view), their anchors with the row of each, and of
-    each window that elected an anchor its row in the view, its anchor and its offset from that."""
+def windows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the batch's segments, their anchors with the row of each, and of each window (``min_len``
+    bytes) that elected an anchor its start, its anchor and its offset from that."""
     data, offs = T.buffers(batch["bytes"])
     of = np.repeat(np.arange(batch.num_rows), batch["anchors"].value_lengths().to_numpy(zero_copy_only=False))
     anchors = batch["anchors"].flatten()
@@ -349,15 +387,17 @@ def windows_of(batch: pa.RecordBatch, min_len: int) -> tuple[np.ndarray, pa.Arra
     n = w1 - w0 + 1
     seg = np.repeat(np.arange(len(n)), n)
     o = w0[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(n) - n, n)
-    view = np.lib.stride_tricks.sliding_window_view(data, min_len) if len(data) >= min_len else np.empty((0, min_len), np.uint8)
-    return view, anchors, of, offs[of[seg]] + off[seg] + o, seg, o
+    return data, anchors, of, offs[of[seg]] + off[seg] + o, seg, o
 
 
 def bucket(min_len: int, keep_first: bool):
     """Suffix order and LPF over whole buckets of segments that share an anchor, some buckets at a time."""
 
     def solve(batch: pa.RecordBatch) -> pa.RecordBatch:
-        view, anchors, of, start, seg, o = windows_of(batch, min_len)
+        data, anchors, of, start, seg, o = windows_of(batch)
+        # equal windows have equal anchors at equal offsets: only those are put in order of bytes
+        _, met, same = np.unique(anchors.field("a").to_numpy(), return_index=True, return_inverse=True)
+        group = np.argsort(np.argsort(met))[same][seg] * min_len + o + min_len
         if len(seg) <= 2 * SUFFIXES:
             parts = [np.arange(len(seg))]
         else:
@@ -366,12 +406,12 @@ def bucket(min_len: int, keep_first: bool):
         before, hits = [], []
         for part in parts:
             # segments stand in order of bucket, then place in the texts: so does each suffix within its group
-            order, lcp = suffix_order(view[start[part]], part)
+            order, lcp = suffix_order(data, start[part], group[part], min_len)
             pos = part[order]
-            hit = longest_previous_factors(pos, lcp) >= min_len
+            hit = longest_previous_factors(pos, lcp, min_len) >= min_len
             before.append(pos[hit])
             if not keep_first:
-                hit |= longest_previous_factors(-pos, lcp) >= min_len
+                hit |= longest_previous_factors(-pos, lcp, min_len) >= min_len
             hits.append(pos[hit])
         hot = np.flatnonzero(batch["hot"].to_numpy(zero_copy_only=False)[of[seg]])
         open_ = np.setdiff1d(hot, np.concatenate(before)) if len(hot) else hot

@@ -91,6 +91,47 @@ def test_lpf_against_brute_force():
             assert v == want
 
 
+def test_suffix_order_in_groups_against_brute_force(monkeypatch):
+    """Groups of one, two and more suffixes; LCPs along runs of one distance, in pieces of any size, and short ones left out."""
+    rng = random.Random(5)
+    for n in range(60):
+        monkeypatch.setattr(suffix_dedup, "COMPARED", rng.choice([1, 50, 1 << 18]))
+        t = bytes(rng.choice(b"a\0") for _ in range(30)) * rng.randint(1, 3) + bytes(rng.choice(b"ab") for _ in range(60))
+        data, width = np.frombuffer(t, np.uint8), rng.randint(1, 16)
+        start = np.array(sorted(rng.sample(range(len(t) - width + 1), rng.randint(0, 60))), dtype=np.int64)
+        group = np.array([rng.randrange(rng.choice([1, 20, 60])) for _ in start], dtype=np.int64)
+        want = sorted(range(len(start)), key=lambda i: (group[i], t[start[i] : start[i] + width], i))
+        shared = [0] * len(want)
+        for k in range(1, len(want)):
+            x, y = want[k - 1 : k + 1]
+            if group[x] == group[y]:
+                shared[k] = next((i for i in range(width) if t[start[x] + i] != t[start[y] + i]), width)
+        order, lcp = suffix_dedup.suffix_order(data, start, group, width)
+        assert order.tolist() == want and lcp.tolist() == shared
+        whole = suffix_dedup.longest_previous_factors(order, lcp)
+        for least in (1, 2, width):
+            assert np.array_equal(suffix_dedup.longest_previous_factors(order, lcp, least), np.where(whole >= least, whole, 0))
+
+
+def test_copies_are_compared_once():
+    """Two long copies: the suffix order reads their bytes a few times, not ``width`` bytes for each suffix."""
+
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, key):
+            if isinstance(key, np.ndarray):
+                Counted.read += key.size
+            return np.asarray(self)[key]
+
+    copy = np.random.default_rng(6).integers(97, 123, 5000).astype(np.uint8)
+    start = np.arange(4801)
+    data = np.concatenate([copy, copy]).view(Counted)
+    order, lcp = suffix_dedup.suffix_order(data, np.concatenate([start, start + 5000]), np.concatenate([start, start]), 200)
+    assert np.array_equal(order[::2] + 4801, order[1::2]) and lcp[1::2].tolist() == [200] * 4801 and not lcp[::2].any()
+    assert Counted.read <= 4 * len(data)
+
+
 def test_myers_against_brute_force():
     def least(item, window):
         row = [0] * (len(window) + 1)
